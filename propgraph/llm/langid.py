@@ -15,6 +15,7 @@ repeated rows get equal results; columns of the input that have a result's name
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,12 @@ NARROW = 0.002
 #: This relative margin, or more, is score 1.
 CLEAR = 0.25
 _LETTER = regex.compile(r"\p{L}")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    """Lower-cased words of letters, one space apart: capitals, marks and digits tell no language from another."""
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> dict[str, bytes]:
@@ -48,7 +55,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
     found: dict[str, list] = {}
     for r in kept.collect():
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(set(v))[:docs_per_lang]).encode() for k, v in sorted(found.items())}
+    return {k: b" ".join(plain(t) for _, t in sorted(set(v))[:docs_per_lang]) for k, v in sorted(found.items())}
 
 
 class Compressor:
@@ -70,7 +77,7 @@ class Compressor:
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not self.langs or not _LETTER.search(text):
             return "und", 0.0, True
-        sizes = self.sizes(text.encode("utf-8", "replace"))
+        sizes = self.sizes(plain(text))
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         rest = [s for i, s in enumerate(sizes) if i != best]
         margin = (min(rest) - sizes[best]) / sizes[best] if rest else CLEAR
