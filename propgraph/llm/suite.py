@@ -5,6 +5,7 @@ from __future__ import annotations
 from .langid import op10_language_id
 from .fingerprints import op8_fingerprints
 from .jaccard import op5_ngram_jaccard
+from .licenses import op7_license_scan
 from .mixing import op1_mixing
 from .packing import op9_packing
 from .quality import op4_quality_rules
@@ -12,7 +13,7 @@ from .sharding import op2_sharding
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op4_quality_rules, op5_ngram_jaccard, op8_fingerprints, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op4_quality_rules, op5_ngram_jaccard, op7_license_scan, op8_fingerprints, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict:
