@@ -113,7 +113,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.withColumn("__p", plain)
     p = F.col("__p")
     rows = rows.withColumn("n_words", F.when(p == "", 0).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1).cast("long"))
-    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(f"(?i) {key} ").alias("key"), F.lit(f"(?i)(?<= )(?:{rx})(?= )").alias("rx"), F.lit(w).alias("weight"), F.lit(base).alias("base")) for k, (label, key, rx, w, base) in enumerate(listed)))
+    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(f"(?i)(?<= )(?:{rx})(?= )").alias("rx"), F.lit(w).alias("weight"), F.lit(base).alias("base")) for k, (label, key, rx, w, base) in enumerate(listed)))
     padded = F.concat(F.lit(" "), p, F.lit(" "))
 
     def found(t: Column, r: Column) -> Column:
@@ -131,8 +131,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         return let(marked, intervals)
 
     def all_found(t: Column) -> Column:
-        active = F.filter(table, lambda r: F.rlike(t, r["key"]))
-        return F.array_sort(F.flatten(F.transform(active, lambda r: found(t, r))))
+        keys = F.filter(F.array(*(F.lit(k) for k in sorted({key for _, key, *_ in listed}))), lambda k: F.rlike(t, F.concat(F.lit("(?i) "), k, F.lit(" "))))
+        active = let(keys, lambda there: F.filter(table, lambda r: F.array_contains(there, r["key"])))
+        return F.sort_array(F.flatten(F.transform(active, lambda r: found(t, r))))
 
     kind = "array<struct<start:bigint,end:bigint,k:int,label:string,weight:double,base:boolean>>"
     gate = padded.rlike(_some({key for _, key, *_ in listed}))
