@@ -10,10 +10,11 @@ from .mixing import op1_mixing
 from .packing import op9_packing
 from .quality import op4_quality_rules
 from .sharding import op2_sharding
+from .warc import op3_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op4_quality_rules, op5_ngram_jaccard, op7_license_scan, op8_fingerprints, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_warc, op4_quality_rules, op5_ngram_jaccard, op7_license_scan, op8_fingerprints, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict:
