@@ -18,6 +18,7 @@ an empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,35 +39,66 @@ NODES, ROUNDS = 3000, 8
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones as they are, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + k) for k, x in enumerate(rest)}
+
+
+class _Lazy(dict):
+    """Values made when first asked for; dropped when there are more than ``most``."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) > self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes; the same ids as the tokenizer gives the whole text.
 
-    The tokenizer never joins what white space parts, so that ids are kept for each word. Texts with a special
-    token's mark or a separator that Python alone takes for white space go to the tokenizer as a whole.
+    The tokenizer never joins what white space parts, so that ids are kept for each word, and for the pieces into
+    which its pre-tokenizer parts words; new pieces go to its model. Words with letters beyond U+017F, whose case or
+    composition may depend on more, go to the whole tokenizer, as do texts with a special token's mark or a separator
+    that Python alone takes for white space, and all texts if the file is not of this kind.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        steps = [x.get("type") for x in (parts.get("normalizer") or {}).get("normalizers", [])]
+        first, *second = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and [x["type"] for x in second] == ["ByteLevel"]
+        self.pattern = regex.compile(first["pattern"]["Regex"]) if self.by_word else None
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+        self.pieces, self.words = _Lazy(self._piece, 2 * CACHE), _Lazy(self._word, CACHE)
+
+    def _raw(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt)])
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() and max(word) > "\u017f":
+            return self._raw(word)
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
-            return self._raw([text])[0]
-        words = text.split()
-        ids = self.ids
-        new = list({w for w in words if w not in ids})
-        if new:
-            if len(ids) > CACHE:
-                ids.clear()
-                new = list(set(words))
-            ids.update(zip(new, self._raw(new), strict=True))
-        return b"".join([ids[w] for w in words])
+        if not self.by_word or _ODD.search(text):
+            return self._raw(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
