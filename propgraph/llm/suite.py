@@ -7,6 +7,7 @@ from .fingerprints import op8_fingerprints
 from .jaccard import op5_ngram_jaccard
 from .licenses import op7_license_scan
 from .mixing import op1_mixing
+from .ngram_lm import op6_ngram_lm
 from .packing import op9_packing
 from .quality import op4_quality_rules
 from .sharding import op2_sharding
@@ -14,7 +15,7 @@ from .warc import op3_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_warc, op4_quality_rules, op5_ngram_jaccard, op7_license_scan, op8_fingerprints, op9_packing, op10_language_id)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_warc, op4_quality_rules, op5_ngram_jaccard, op6_ngram_lm, op7_license_scan, op8_fingerprints, op9_packing, op10_language_id)}
 
 
 def oracle_sql() -> dict:
