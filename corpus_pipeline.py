@@ -1,12 +1,69 @@
-"""The corpus pipeline: language, quality, near duplicates, mixture, packing."""
+"""The corpus pipeline: language, quality rules, near duplicates, mixture, packing.
 
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
+stage's documents. All but the last give the columns of documents, whole texts included.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from propgraph.llm import jaccard, langid, mixing, packing, quality
+from propgraph.llm.common import BROADCAST_ROWS, table, written
+
+#: The last stages give samples of copies and token checksums, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; dictionaries are made of the documents' own labelled texts."""
+    names = docs.columns
+    return langid.identify(docs, langid.fit(docs)).filter(~F.col("rejected")).select(*names)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base conditions nor the learned rules reject."""
+    names = docs.columns
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, rules).filter("kept").select(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id.
+
+    Rows are told apart by their ids; if ids are null or repeat, the rows are written with a number of their own first.
+    """
+    names, key = docs.columns, "doc_id"
+    ids = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    if ids[0] != ids[1] or not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        key = "__row"
+        docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    found = jaccard.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
+    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)), "pipeline-copies")
+    small = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*names)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture of sources takes them."""
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces, packed into sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("language", language), ("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("mixture", mixture), ("pack", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, on the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
     return docs

@@ -9,7 +9,7 @@ given training rows, and ``chars_per_doc`` characters of each; this bounded samp
 Prediction reads whole texts: no prefix, no cap.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; null languages are not
-learned; without any training rows every text is ``und``; ties go to the language that comes first by code point;
+learned; without any training rows every text is ``und``; ties go to the language with more training documents, then to the first by code point;
 repeated rows get equal results; columns of the input that have a result's name are replaced.
 """
 
@@ -44,7 +44,7 @@ def plain(text: str) -> bytes:
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> dict[str, bytes]:
-    """Raw dictionary content for each language, from at most ``docs_per_lang`` * ``chars_per_doc`` characters each."""
+    """Raw dictionary content for each language, the most frequent first, from at most ``docs_per_lang`` * ``chars_per_doc`` characters each."""
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -57,14 +57,14 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
     found: dict[str, list] = {}
     for r in kept.collect():
         found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: b" ".join(plain(t) for _, t in sorted(set(v))[:docs_per_lang]) for k, v in sorted(found.items())}
+    return {k: b" ".join(plain(t) for _, t in sorted(set(v))[:docs_per_lang]) for k, v in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 class Compressor:
     """Encoded sizes of texts, language by language."""
 
     def __init__(self, content: dict[str, bytes], level: int = LEVEL):
-        self.langs = sorted(content)
+        self.langs = list(content)
         self.zstd = []
         for k in self.langs:
             # a short dictionary is not raw content to zstandard; spaces in front of it change no size between languages
