@@ -184,9 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[R
     """Rules from ``labels`` (doc_id, quality 0 or 1) of ``docs`` (doc_id, text), at most ``most`` labelled rows."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id", "quality").limit(most)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).filter(~base_failed())  # base conditions go first
-    found = rows.select("doc_id", "quality", *FEATURES).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "quality").limit(most).collect()
-    return learn([({f: float(r[f]) for f in FEATURES}, r["quality"] == 0) for r in found])
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # not a filter: Spark would push it, and with it the statistics of all documents, below the join
+    rows = rows.select("doc_id", "quality", base_failed().alias("failed"), *FEATURES)
+    found = rows.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "quality").limit(most).collect()
+    return learn([({f: float(r[f]) for f in FEATURES}, r["quality"] == 0) for r in found if not r["failed"]])  # base conditions go first
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
