@@ -35,7 +35,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "node_scan_all_labels": ("MATCH (n) WHERE n.acctbal > 9000 RETURN labels(n) AS l, n.name AS name", "select 'Customer' as l, c_name as name from customer where c_acctbal > 9000 union all select 'Supplier', s_name from supplier where s_acctbal > 9000"),
     "node_scan_unknown_label": ("MATCH (n:Nowhere) RETURN COUNT(*) AS c", "select 0::bigint as c"),
     "project_expr": ("MATCH (p:Part) RETURN p.name AS name, p.size + 1 AS s1", "select p_name as name, p_size::bigint + 1 as s1 from part"),
-    "filter_cmp": ("MATCH (p:Part) WHERE p.size >= 40 RETURN p.name AS name, p.size AS size", "select p_name as name, p_size as size from part where p_size >= 40"),
+    "filter_cmp": ("MATCH (p:Part) WHERE p.size >= 40 RETURN p.name AS name, p.size AS size", "select p_name as name, p_size::bigint as size from part where p_size >= 40"),
     "filter_mixed_numbers": ("MATCH (p:Part) WHERE p.size < 10.5 AND p.price >= 1000 RETURN p.key AS k", "select p_partkey as k from part where p_size < 10.5 and p_retailprice >= 1000"),
     "filter_and_or_not": ("MATCH (p:Part) WHERE NOT p.size > 10 OR (p.brand = 'Brand#1' AND p.size <> 20) RETURN p.key AS k", "select p_partkey as k from part where not p_size > 10 or (p_brand = 'Brand#1' and p_size <> 20)"),
     "inline_prop": ("MATCH (p:Part {brand: 'Brand#1'}) RETURN p.key AS k, p.name AS name", "select p_partkey as k, p_name as name from part where p_brand = 'Brand#1'"),
@@ -44,7 +44,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "null_or_strict": ("MATCH (p:Part) WHERE p.nope > 1 OR p.size > 0 RETURN COUNT(*) AS c", "select 0::bigint as c"),
     "null_and_strict": ("MATCH (p:Part) RETURN (p.nope > 1 AND FALSE) OR TRUE AS x LIMIT 1", "select cast(null as boolean) as x"),
     "not_null_true": ("MATCH (p:Part) WHERE NOT p.nope > 1 RETURN COUNT(*) AS c", "select count(*) as c from part"),
-    "null_sparse": ("MATCH (n) WHERE NOT n.size > 10 RETURN labels(n) AS l, COUNT(*) AS c".replace(", COUNT(*) AS c", ""), "select 'Region' as l from region union all select 'Nation' from nation union all select 'Customer' from customer union all select 'Supplier' from supplier union all select 'SalesOrder' from orders union all select 'Event' from events union all select 'User' from (select distinct user_id from events) union all select 'Part' from part where p_size <= 10"),
+    "null_sparse": ("MATCH (n) WHERE NOT n.size > 10 RETURN labels(n) AS l", "select 'Region' as l from region union all select 'Nation' from nation union all select 'Customer' from customer union all select 'Supplier' from supplier union all select 'SalesOrder' from orders union all select 'Event' from events union all select 'User' from (select distinct user_id from events) union all select 'Part' from part where p_size <= 10"),
     "mixed_kinds": ("MATCH (p:Part) WHERE p.size <= 'x' AND NOT p.size < 'x' AND p.size <> 'x' RETURN COUNT(*) AS c", "select count(*) as c from part"),
     "truthy_int": ("MATCH (p:Part) WHERE p.size % 2 RETURN p.key AS k", "select p_partkey as k from part where p_size % 2 <> 0"),
     "truthy_string": ("MATCH (p:Part) WHERE p.name AND p.size RETURN COUNT(*) AS c", "select count(*) as c from part where p_name <> '' and p_size <> 0"),
@@ -83,7 +83,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "edge_filter": ("MATCH (o)-[:HAS_PART {qty: 50.0}]->(p) RETURN COUNT(*) AS c", "select count(*) as c from lineitem where l_quantity = 50"),
     "two_hop": ("MATCH (c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r) RETURN c.key AS k, n.name AS n, r.name AS r", "select c_custkey as k, n_name as n, r_name as r from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"),
     "three_hop": ("MATCH (r:Region {name: 'ASIA'})<-[:IN_REGION]-(n)<-[:IN_NATION]-(c:Customer)-[:PLACED]->(o) RETURN n.name AS n, o.key AS k", "select n_name as n, o_orderkey as k from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey where r_name = 'ASIA'"),
-    "hop_repeats": ("MATCH (a:Nation)-[:IN_REGION]->(r)<-[:IN_REGION]-(b) RETURN a.key AS a, b.key AS b", "select a.n_nationkey as a, b.n_nationkey as b from nation a join nation b using (n_regionkey)"),
+    "hop_repeats": ("MATCH (a:Nation)-[:IN_REGION]->(r)<-[:IN_REGION]-(b) RETURN a.key AS a, b.key AS b", "select a.n_nationkey::bigint as a, b.n_nationkey::bigint as b from nation a join nation b using (n_regionkey)"),
     "cartesian": ("MATCH (r:Region), (n:Nation) RETURN r.name AS r, n.name AS n", "select r_name as r, n_name as n from region cross join nation"),
     "theta_join": ("MATCH (c:Customer), (s:Supplier) WHERE c.acctbal < s.acctbal AND s.acctbal > 9000 RETURN COUNT(*) AS c", "select count(*) as c from customer join supplier on c_acctbal < s_acctbal where s_acctbal > 9000"),
     "shared_var": ("MATCH (c:Customer)-[:IN_NATION]->(n), (s:Supplier)-[:IN_NATION]->(n) RETURN COUNT(*) AS c", "select count(*) as c from customer join supplier on c_nationkey = s_nationkey"),
@@ -103,7 +103,7 @@ QUERIES: dict[str, tuple[str, str]] = {
     "var_upto": ("MATCH (a:Part)-[:NEXT_PART*..2]->(b) WHERE a.key < 10 RETURN a.key AS a, b.key AS b", _paths(1, 2, "")),
     "var_in": ("MATCH (a:Part)<-[:NEXT_PART*1..2]-(b) WHERE a.key < 10 RETURN a.key AS a, b.key AS b", _paths(1, 2, "", "select b as a, a as b from next_part")),
     "var_any": ("MATCH (a:Part)-[:NEXT_PART*1..2]-(b) WHERE a.key < 10 RETURN a.key AS a, b.key AS b", _paths(1, 2, "", "select a, b from next_part union select b, a from next_part")),
-    "var_label": ("MATCH (n:Nation)-[*1..2]-(c:Supplier) WHERE n.key < 3 RETURN n.key AS n, c.key AS c", "select n, c from (select n_nationkey as n, s_suppkey as c from nation join supplier on s_nationkey = n_nationkey) where n < 3"),
+    "var_label": ("MATCH (n:Nation)-[*1..2]-(c:Supplier) WHERE n.key < 3 RETURN n.key AS n, c.key AS c", "select n, c from (select n_nationkey::bigint as n, s_suppkey as c from nation join supplier on s_nationkey = n_nationkey) where n < 3"),
 }
 
 # -- writes: each on a session of its own; the result is the state after them ---------------------------------------
