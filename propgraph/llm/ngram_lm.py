@@ -39,8 +39,8 @@ from .common import new_path, written
 
 ADD, DISCOUNT, KEEP, WORD_COUNT = 0.1, 0.75, 2, 8
 #: Tokens: of a chunk of text that is counted at a time, and of a shard of the trie. Points of mass that each shard tells the driver.
-CHUNK_BYTES, SHARD_TOKENS, POINTS = 12 << 20, 4_000_000, 16
-_SPAN = 2 << 20
+CHUNK_BYTES, SHARD_TOKENS, POINTS = 8 << 20, 4_000_000, 16
+_SPAN = 1 << 19
 _RANGE, _STEPS = 12.0, 65535
 #: Hashes of no word: words have no white space, and these are of texts with some.
 END, START = np.uint64(0x5F2E6B1D9C3A7A01), np.uint64(0x5F2E6B1D9C3A7A03)
@@ -252,15 +252,19 @@ class Trie:
                 continue
             s, part = self.shard(level, int(k)), slice(cut[k], cut[k + 1])
             ctx, child = np.divmod(keys[part], spread)
-            r = s["context"].find(ctx)
+            run = np.r_[True, ctx[1:] != ctx[:-1]]  # a context is looked up once
+            own = s["context"].find(ctx[run])
+            base = i[f"base{level}"][k]
+            begin = np.zeros(len(own), np.int64)
+            begin[own >= 0] = s["pointer"].get(own[own >= 0]).astype(np.int64) + base
+            begin[own == 0] = i[f"first{level}"][k]  # the first context may begin in a shard before
+            of = np.cumsum(run) - 1
+            r = own[of]
             ok = np.flatnonzero(r >= 0)
             at = s["child"].find(r[ok].astype(np.uint64) * spread + child[ok])
             ok, at = ok[at >= 0], at[at >= 0]
-            base = i[f"base{level}"][k]
-            begin = s["pointer"].get(r[ok]).astype(np.int64) + base
-            begin = np.where(r[ok] == 0, i[f"first{level}"][k], begin)  # the first context may begin in a shard before
             node[part][ok] = at + base
-            place[part][ok] = at + base - begin
+            place[part][ok] = at + base - begin[of[ok]]
             p[part][ok] = _VALUES[s["p"][at]]
         return node, place, p
 
