@@ -35,36 +35,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, small_batches, written
 from .components import connected_components
+from .words import word_hashes
 
 WORDS, PERCENT = 5, 80
 SLACK, COMMON, COMMON_LIMIT = 96, 64, 500_000
 #: Shingles: in a task that opens groups, and tokens in a chunk or a bucket of the matrix.
-BLOCK, CHUNK = 2_000_000, 2_000_000
+BLOCK, CHUNK = 2_000_000, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FLIP = np.int64(0x5DEECE66D)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The set of a text: sorted distinct 64-bit hashes of its shingles."""
-    w = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z is lower-cased, only ASCII space parts
-    if not w:
+def _set(h: np.ndarray, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles, from the words' hashes."""
+    if not len(h):
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
-    k = min(words, len(w))
-    n = len(w) - k + 1
+    k = min(words, len(h))
+    n = len(h) - k + 1
     a = h[:n] + np.uint64(k)
     for i in range(1, k):
         a = (a ^ (a >> np.uint64(31))) * _MIX + h[i : i + n]
@@ -72,6 +60,20 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(a ^ (a >> np.uint64(29)))
 
 
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The set of a text."""
+    return _set(word_hashes((text or "").encode("utf-8", "replace"))[1], words)
+
+
+def sets_of(texts: list[bytes | None], words: int) -> Iterator[np.ndarray]:
+    """The sets of many texts, whose words are hashed together."""
+    texts = [t or b"" for t in texts]
+    start, h = word_hashes(b"\n".join(texts))
+    cut = np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    for k in range(len(texts)):
+        yield _set(h[cut[k] : cut[k + 1]], words)
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -91,8 +93,7 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ns, d1, d2, kept = [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingles(t, words)
+            for s in sets_of(b.column(1).to_pylist(), words):
                 n = len(s)
                 x, y = digest(s)
                 ns.append(n)
@@ -101,7 +102,8 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 kept.append(s[: n - _least(n, percent) + SLACK].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n", "d1", "d2", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, kept binary")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, kept binary")
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 DOCS_PER_LANG, CHARS_PER_DOC = 60, 1200
 #: At level 11 zstandard matches the dictionary well enough to tell short texts apart.
 LEVEL = 11
@@ -90,6 +92,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text") ->
     """``docs`` with ``lang_pred``, ``score`` (0 to 1, the margin) and ``rejected`` (a narrow margin, or ``und``)."""
     made = ("lang_pred", "score", "rejected")
     docs = docs.drop(*made)
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(content)  # at most languages * docs_per_lang * chars_per_doc characters
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 

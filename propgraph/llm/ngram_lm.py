@@ -35,66 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import eliasfano as ef
-from .common import new_path, written
+from .common import new_path, small_batches, written
+from .words import word_hashes
 
 ADD, DISCOUNT, KEEP, WORD_COUNT = 0.1, 0.75, 2, 8
 #: Tokens: of a chunk of text that is counted at a time, and of a shard of the trie. Points of mass that each shard tells the driver.
 CHUNK_BYTES, SHARD_TOKENS, POINTS = 8 << 20, 4_000_000, 16
-_SPAN = 1 << 19
 _RANGE, _STEPS = 12.0, 65535
 #: Hashes of no word: words have no white space, and these are of texts with some.
 END, START = np.uint64(0x5F2E6B1D9C3A7A01), np.uint64(0x5F2E6B1D9C3A7A03)
 
-# -- words to hashes ------------------------------------------------------------------------------------------------
-
-_P = 0x9E3779B97F4A7C15
-_VALUE = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUE[65:91] = _VALUE[97:123]  # A-Z as a-z
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(p: int, n: int) -> np.ndarray:
-    """p^0 to p^(n-1) modulo 2^64."""
-    if len(_powers.get(p, ())) < n:
-        out = np.ones(max(n, _SPAN + 1), np.uint64)
-        k = 1
-        while k < len(out):
-            m = min(k, len(out) - k)
-            out[k : k + m] = out[:m] * np.uint64(pow(p, k, 1 << 64))
-            k += m
-        _powers[p] = out
-    return _powers[p][:n]
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of each word: a polynomial of its bytes' values, from differences of one running sum."""
-    starts, hashes, at = [], [], 0
-    while at < len(data):
-        end = min(len(data), at + _SPAN)
-        while end < len(data) and not _IS_SPACE[data[end - 1]]:  # not within a word
-            end += 1
-        b = np.frombuffer(data, np.uint8, end - at, at)
-        space = _IS_SPACE[b]
-        edges = np.flatnonzero(np.diff(np.r_[True, space, True].view(np.int8)))
-        s, e = edges[::2], edges[1::2]
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_VALUE[b] * _power(_P, len(b)), out=total[1:])
-        starts.append(s + at)
-        hashes.append(_mix((total[e] - total[s]) * _power(pow(_P, -1, 1 << 64), len(b) + 1)[s]))
-        at = end
-    if not starts:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(starts), np.concatenate(hashes)
-
-
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(rows' first columns, tokens' hashes, each row's first token) of about CHUNK_BYTES of text; texts are the last column."""
     rows, texts, size = [], [], 0
@@ -369,6 +319,7 @@ def _global_points(stats: list[dict], base: np.ndarray) -> tuple[list[tuple[int,
 def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
     """The model of ``docs`` (text): its files' place and their numbers, for ``score``."""
     spark = docs.sparkSession
+    small_batches(spark)
     per = shard_tokens or SHARD_TOKENS
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     n_bytes, n_docs = texts.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
@@ -503,6 +454,7 @@ def score(docs: DataFrame, info: dict) -> DataFrame:
             cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array(n, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), *(pa.array(np.add.reduceat(x, first)) for x in (base, own))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 CAPACITY, END, SLICES = 2048, 0, 64
 #: Words whose ids a worker keeps; beyond it the table is dropped and filled anew.
@@ -122,6 +122,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
             cols = zip(*rows, strict=True) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.strip().split()[0] for f in schema.split(",")])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, new_path, written
+from .common import BROADCAST_ROWS, new_path, small_batches, written
 
 LEAST, SALTS = 100, 16
 DATE = "2024-01-01T00:00:00Z"
@@ -78,6 +78,7 @@ def transaction(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     """Archives of ``pages`` (page_id, url, html) as gzip files under ``path``."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     again = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
@@ -164,6 +165,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    small_batches(spark)
     text = spark.read.option("lineSep", SEPARATOR).schema("value string").text(path)
     return text.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD)
 
