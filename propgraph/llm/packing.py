@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, written
 
 CAPACITY, END, SLICES = 2048, 0, 64
-#: Words whose ids a worker keeps; beyond it the table is dropped and filled anew.
-CACHE = 400_000
+#: Words, and pieces of words, whose ids a worker keeps: the first ones that it meets, among them all common ones.
+CACHE = 250_000
 NODES, ROUNDS = 3000, 8
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -47,15 +47,15 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Lazy(dict):
-    """Values made when first asked for; dropped when there are more than ``most``."""
+    """Values made when asked for, and the first ``most`` of them kept."""
 
     def __init__(self, make, most: int):
         self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) > self.most:
-            self.clear()
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(self) < self.most:
+            self[key] = value
         return value
 
 
@@ -79,7 +79,7 @@ class Encoder:
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and [x["type"] for x in second] == ["ByteLevel"]
         self.pattern = regex.compile(first["pattern"]["Regex"]) if self.by_word else None
         self.letters, self.model = _byte_letters(), self.tokenizer.model
-        self.pieces, self.words = _Lazy(self._piece, 2 * CACHE), _Lazy(self._word, CACHE)
+        self.pieces, self.words = _Lazy(self._piece, CACHE), _Lazy(self._word, CACHE)
 
     def _raw(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,7 +91,12 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         if not word.isascii() and max(word) > "\u017f":
             return self._raw(word)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word.lower())))
+        low = word.lower()
+        if low.isalpha():
+            return self.pieces[low]
+        if low[:-1].isalpha():  # letters and one other character, which is a piece of its own
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(low)))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
