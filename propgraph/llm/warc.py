@@ -99,7 +99,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
                 part = zip(*(c.slice(i, 64).to_pylist() for c in cols), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array([r for x in part for r in transaction(*x)], pa.binary())], ["value"])
 
-    found.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
+    found.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _assemble(fragments: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
