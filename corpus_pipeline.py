@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm import jaccard, langid, mixing, packing, quality
-from propgraph.llm.common import BROADCAST_ROWS, table, written
+from propgraph.llm.common import BROADCAST_ROWS, held, table, written
 
 #: The last stages give samples of copies and token checksums, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         key = "__row"
         docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
     found = jaccard.near_duplicates(docs.select(F.col(key).alias("doc_id"), "text"))
-    gone = written(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)), "pipeline-copies")
+    gone = held(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)))
     small = gone.count() <= BROADCAST_ROWS
     return docs.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*names)
 

@@ -23,6 +23,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept by the executors, in memory or on disk; what a lost executor held is computed
+    again from its sources. For tables that are read several times and whose rows do not depend on their order."""
+    return df.persist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,7 +61,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str, out: str, par
 def lookup(big: DataFrame, small: DataFrame, key: str, salts: int = 16, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``big`` left-joined to ``small`` (one row for each key; null equals null) on ``key``.
 
-    ``small`` should be a written table: it is counted, and broadcast if it has no more than ``limit`` rows. Else
+    ``small`` should be held or written: it is counted, and broadcast if it has no more than ``limit`` rows. Else
     the key is salted, so that a key with a third of the rows goes to several tasks.
     """
     other = small.withColumnRenamed(key, "__key")

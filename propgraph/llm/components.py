@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+ROWS_A_FILE = 500_000
+
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of ``links`` (a long, b long); a component's id is its smallest node. Nodes without links are left out.
@@ -16,7 +18,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     the component's size.
     """
     edges = written(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
-    before = None
+    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -24,10 +26,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = large.filter("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = written(small.select("e.a", "e.b").filter("a <> b").distinct(), "star")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        after = small.select("e.a", "e.b").filter("a <> b").distinct()
+        if state:
+            after = after.coalesce(3 + state[0] // ROWS_A_FILE)  # links do not become more: as many files as they need
+        edges = written(after, "star")
+        before, state = state, edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
-        before = state
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, written
+from .common import global_rank, held
 
 EXACT, SHIFTS = 8, 21
 _MOD = (1 << 62) - 1
@@ -94,7 +94,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     that texts are shuffled once. Equal ids are ordered by the text's hash; null ids come last.
     """
     keyed = docs.withColumn("__neg", F.bitwise_not("doc_id")).withColumn("__h", F.xxhash64("text"))  # ascending in __neg is descending in doc_id
-    slim = written(keyed.select("__neg", "__h"), "fp-ids")
+    slim = held(keyed.select("__neg", "__h"))
     rows = slim.count()
     size = max(ROWS_A_BUCKET, -(-rows // MOST_BUCKETS))
     cuts = slim.agg(F.percentile_approx("__neg", [k / QUANTILES for k in range(1, QUANTILES)], 10_000)).first()[0] or []
@@ -106,7 +106,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     place = F.struct(q.alias("q"), F.coalesce(F.floor((F.col("__neg").cast("decimal(20,0)") - pick(0)) / pick(1)).cast("long"), F.lit(0)).alias("k")) if edges else F.struct(F.lit(0).alias("q"), F.lit(0).cast("long").alias("k"))
     dealt = keyed.withColumn("__bucket", place)
     heads = slim.withColumn("__bucket", place).groupBy("__bucket").agg(F.min(F.struct(F.col("__neg").isNull().alias("last"), "__neg", "__h")).alias("f"))
-    ranked = written(global_rank(heads.select("__bucket", "f"), [F.col("__bucket")], "fp-heads", "rank", 8), "fp-ranks")
+    ranked = held(global_rank(heads.select("__bucket", "f"), [F.col("__bucket")], "fp-heads", "rank", 8))
     n = ranked.count()  # no more than MOST_BUCKETS + QUANTILES + 1
     before = ranked.select(F.col("f.__neg").alias("fneg"), F.col("f.__h").alias("fh"), ((F.col("rank") + n - 1) % F.lit(max(n, 1))).alias("rank"))
     follow = before.join(ranked.select("rank", F.col("__bucket").alias("to")), "rank").select("fneg", "fh", "to")

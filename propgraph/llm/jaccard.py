@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, small_batches, written
+from .common import BROADCAST_ROWS, held, small_batches, written
 from .components import connected_components
 from .words import word_hashes
 
@@ -87,7 +87,7 @@ def linked(shared: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, percent
     return 100 * shared >= percent * (a + b - shared)
 
 
-def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+def sets(docs: DataFrame, words: int, percent: int, slack: int) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): n, a 128-bit digest of its set, and the kept part of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +99,7 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ns.append(n)
                 d1.append(x)
                 d2.append(y)
-                kept.append(s[: n - _least(n, percent) + SLACK].tobytes())
+                kept.append(s[: n - _least(n, percent) + slack].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n", "d1", "d2", "kept"])
 
     small_batches(docs.sparkSession)
@@ -135,8 +135,8 @@ def _chunks(pairs: Iterator[tuple[np.ndarray, int]]) -> Iterator[tuple[np.ndarra
         yield _distinct(np.concatenate(tokens), np.concatenate(groups))
 
 
-def common_tokens(kept: DataFrame) -> np.ndarray:
-    """Tokens that are in COMMON groups or more, as far as tasks that meet them twice tell; sorted."""
+def common_tokens(kept: DataFrame, common: int) -> np.ndarray:
+    """Tokens that are in ``common`` groups or more, as far as tasks that meet them twice tell; sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = ((k, int(k[:1].view(np.int64)[0])) for b in batches for _, k in _rows(b))
@@ -146,13 +146,13 @@ def common_tokens(kept: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], ["token", "groups"])
 
     found = kept.select("n", "kept").mapInArrow(run, "token long, groups long").groupBy("token").agg(F.sum("groups").alias("groups"))
-    top = found.filter(F.col("groups") >= COMMON).orderBy(F.desc("groups"), "token").limit(COMMON_LIMIT).select("token").collect()
+    top = found.filter(F.col("groups") >= common).orderBy(F.desc("groups"), "token").limit(COMMON_LIMIT).select("token").collect()
     return np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
 
 
-def place(n: int, kept: np.ndarray, common: np.ndarray, percent: int) -> tuple[int, bool, int, np.ndarray]:
+def place(n: int, kept: np.ndarray, common: np.ndarray, percent: int, slack: int) -> tuple[int, bool, int, np.ndarray]:
     """Of a set: group, whether it is saturated, how many tokens it shares with any partner at least, the tokens it stores."""
-    low = min(int(_least(_least(n, percent), percent)), SLACK)
+    low = min(int(_least(_least(n, percent), percent)), slack)
     if not len(common):
         return int(kept[:1].view(np.int64)[0]), False, low, kept
     at = np.minimum(np.searchsorted(common, kept), len(common) - 1)
@@ -164,12 +164,12 @@ def place(n: int, kept: np.ndarray, common: np.ndarray, percent: int) -> tuple[i
     return int(rare[:1].view(np.int64)[0]), False, low - f, rare
 
 
-def members(kept: DataFrame, common, percent: int) -> DataFrame:
+def members(kept: DataFrame, common, percent: int, slack: int) -> DataFrame:
     """(doc_id, n, d1, d2, grp, sat, req) of each row; grp is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [place(n, np.frombuffer(k, np.uint64), common.value, percent)[:3] if n else (None, False, 0) for n, k in zip(b.column("n").to_pylist(), b.column("kept").to_pylist(), strict=True)]
+            out = [place(n, np.frombuffer(k, np.uint64), common.value, percent, slack)[:3] if n else (None, False, 0) for n, k in zip(b.column("n").to_pylist(), b.column("kept").to_pylist(), strict=True)]
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n", "d1", "d2")), *cols], ["doc_id", "n", "d1", "d2", "grp", "sat", "req"])
 
@@ -191,7 +191,7 @@ def _pairs_of_runs(groups: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
                     yield np.repeat(block[:, i], r - 1 - i), block[:, i + 1 :].ravel()
 
 
-def group_overlaps(kept: DataFrame, common, percent: int, tokens: int) -> DataFrame:
+def group_overlaps(kept: DataFrame, common, percent: int, slack: int, tokens: int) -> DataFrame:
     """The matrix, by buckets of tokens, times itself: (g, h, shared tokens), g < h."""
     buckets = max(1, -(-tokens // CHUNK))
 
@@ -199,7 +199,7 @@ def group_overlaps(kept: DataFrame, common, percent: int, tokens: int) -> DataFr
         def stored():
             for b in batches:
                 for n, k in _rows(b):
-                    g, _, _, t = place(n, k, common.value, percent)
+                    g, _, _, t = place(n, k, common.value, percent, slack)
                     yield t, g
 
         for t, g in _chunks(stored()):
@@ -297,10 +297,10 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
     """(d1, d2, component) of the sets in ``wanted`` (rep, d1, d2, n, sg, shingles of the whole sg)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    small = wanted.count() <= BROADCAST_ROWS
+    total, count = wanted.agg(F.sum("n"), F.count(F.lit(1))).first()
+    small = count <= BROADCAST_ROWS
     rows = texts.join(F.broadcast(wanted) if small else wanted, "rep").withColumn("role", F.lit(0))
-    total = wanted.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // max(1, block // 2)))
+    buckets = max(1, -(-(total or 0) // max(1, block // 2)))
 
     def whole(x: pa.Table) -> pa.Table:
         by: dict[int, list] = {}
@@ -314,7 +314,7 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
 
     fits = F.col("of") <= block
     small_groups = rows.filter(fits).withColumn("bucket", F.pmod(F.xxhash64("sg"), F.lit(buckets)))
-    done = written(small_groups.groupBy("bucket").applyInArrow(whole, "d1 long, d2 long, component long"), "jaccard-opened")
+    done = small_groups.groupBy("bucket").applyInArrow(whole, "d1 long, d2 long, component long")
     large = wanted.filter(~fits)
     if large.isEmpty():
         return done
@@ -336,11 +336,11 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
         return _table(out, ["a", "b"])
 
     big = rows.filter(~fits).withColumn("blocks", F.ceil(F.col("of") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
-    big = written(big, "jaccard-blocks")
+    big = held(big)
     heads = big.groupBy("sg").agg(F.min(F.struct("rep", "d1", "d2")).alias("h")).select("sg", "h.*")
     lead = big.join(heads, ["sg", "rep", "d1", "d2"], "left_semi").dropDuplicates(["sg"]).withColumn("role", F.lit(1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     near = big.unionByName(lead).groupBy("sg", "block").applyInArrow(first_step, "sg long, d1 long, d2 long, root long, role long, reached long")
-    near = written(near, "jaccard-near")
+    near = held(near)
     rest = near.filter("reached = 0 and role = 0").select("sg", "d1", "d2")
     asked = big.join(rest, ["sg", "d1", "d2"], "left_semi")
     much = asked.groupBy("sg").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
@@ -355,27 +355,27 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
     return done.unionByName(found.join(least, "c").select("d1", "d2", F.col("least").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, slack: int = SLACK, common: int = COMMON) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text): its set's size and the least id its links reach."""
-    kept = written(sets(docs, words, percent), "jaccard-sets")
+    kept = written(sets(docs, words, percent, slack), "jaccard-sets")
     tokens = kept.agg(F.sum(F.octet_length("kept"))).first()[0] or 0
-    common = docs.sparkSession.sparkContext.broadcast(common_tokens(kept))
-    rows = written(members(kept, common, percent), "jaccard-members")
+    often = docs.sparkSession.sparkContext.broadcast(common_tokens(kept, common))
+    rows = held(members(kept, often, percent, slack))
     # equal sets collapse here; a set with a third of all rows is one row of each task's partial aggregate
     reps = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.max("sat").alias("sat"), F.min("req").alias("req"))
-    reps = written(reps, "jaccard-reps")
-    groups = written(reps.groupBy("grp").agg(F.max("sat").alias("sat"), F.min("req").alias("req"), F.min("n").alias("least"), F.max("n").alias("most")), "jaccard-groups")
-    pairs = group_overlaps(kept, common, percent, tokens // 8)
+    reps = held(reps)
+    groups = held(reps.groupBy("grp").agg(F.max("sat").alias("sat"), F.min("req").alias("req"), F.min("n").alias("least"), F.max("n").alias("most")))
+    pairs = group_overlaps(kept, often, percent, slack, tokens // 8)
     for side in "gh":
         pairs = pairs.join(groups.select(F.col("grp").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("sat", "req", "least", "most"))), side)
     asked = F.when(F.col("sat_g") == F.col("sat_h"), F.greatest("req_g", "req_h")).when(F.col("sat_g"), F.col("req_h")).otherwise(F.col("req_g"))
     sizes = (100 * F.col("most_g") >= percent * F.col("least_h")) & (100 * F.col("most_h") >= percent * F.col("least_g"))
-    links = written(pairs.filter((F.col("shared") >= asked) & sizes).select(F.col("g").alias("a"), F.col("h").alias("b")), "jaccard-pairs")
+    links = pairs.filter((F.col("shared") >= asked) & sizes).select(F.col("g").alias("a"), F.col("h").alias("b"))
     chains = connected_components(links).select(F.col("node").alias("grp"), F.col("component").alias("chain"))
-    placed = written(reps.join(chains, "grp", "left").withColumn("sg", F.coalesce("chain", "grp")).select("rep", "d1", "d2", "n", "sg"), "jaccard-placed")
+    placed = held(reps.join(chains, "grp", "left").withColumn("sg", F.coalesce("chain", "grp")).select("rep", "d1", "d2", "n", "sg"))
     more = placed.groupBy("sg").agg(F.count("*").alias("sets"), F.sum("n").alias("of")).filter("sets > 1").drop("sets")
-    wanted = written(placed.join(more, "sg").filter("rep is not null"), "jaccard-wanted")
-    opened = open_groups(wanted, docs, words, percent, block or BLOCK)
+    wanted = held(placed.join(more, "sg").filter("rep is not null"))
+    opened = open_groups(wanted, docs, words, percent, block)
     classes = reps.join(opened, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.join(classes, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

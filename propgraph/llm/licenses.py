@@ -73,13 +73,14 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "cc-any": ("commons", (r"creative commons",), ()),
     "public-domain": ("domain", (r"public domain", r"dedicated to the public domain", r"released into the public domain"), ()),
     "proprietary": ("confidential", (r"proprietary and confidential", r"confidential and proprietary"), ()),
-    "copyright": ("copyright", (r"copyright (?:c )?(?:19|20)[0-9]{2}", r"copyrighted (?:material|work)"), ()),
+    "copyright": ("copyright", (r"copyright (?:c )?(?:19|20)[0-9]{2}",), ()),
+    "copyrighted": ("copyrighted", (r"copyrighted (?:material|work)",), ()),
     "permission": ("permission", (r"permission is hereby granted free of charge", r"permission to use copy modify and (?:or )?distribute"), ()),
     "redistribution": ("redistribution", (r"redistribution and use in source and binary forms",), ()),
     "no-warranty": ("warranty", (r"without warranty of any kind", r"without any warranty"), ()),
 }
 #: Labels of several families that are one license.
-SAME = {"cc-by-nc-nd-long": "cc-by-nc-nd", "cc-by-nc-sa-long": "cc-by-nc-sa", "agpl-short": "agpl", "lgpl-library": "lgpl", "lgpl-short": "lgpl", "gpl-name": "gpl", "gpl-short": "gpl", "mpl-short": "mpl", "cc-zero": "cc0", "cc-by-nc-long": "cc-by-nc", "cc-by-sa-long": "cc-by-sa", "cc-by-name": "cc-by", "cc-by-long": "cc-by"}
+SAME = {"copyrighted": "copyright", "cc-by-nc-nd-long": "cc-by-nc-nd", "cc-by-nc-sa-long": "cc-by-nc-sa", "agpl-short": "agpl", "lgpl-library": "lgpl", "lgpl-short": "lgpl", "gpl-name": "gpl", "gpl-short": "gpl", "mpl-short": "mpl", "cc-zero": "cc0", "cc-by-nc-long": "cc-by-nc", "cc-by-sa-long": "cc-by-sa", "cc-by-name": "cc-by", "cc-by-long": "cc-by"}
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?"
 #: How sure a form is: a sentence that grants, a name with its version, a bare name.
 GRANTED, VERSIONED, NAMED = 1.0, 0.9, 0.6
@@ -91,11 +92,11 @@ def rules() -> list[tuple[str, str, str, float, bool]]:
     for label, (keyword, names, versions) in FAMILIES.items():
         for name in names:
             for v in versions:
-                out.append((SAME.get(label, label), keyword, f"{GRANT}{name} (?:version |v )?{v}(?: or later| licen[cs]e)?", GRANTED, False))
+                out.append((SAME.get(label, label), keyword, f"{GRANT}{name} (?:version |v ?)?{v}(?: or later| licen[cs]e)?", GRANTED, False))
             out.append((SAME.get(label, label), keyword, f"{GRANT}{name}", GRANTED, False))
         for name in names:
             for v in versions:
-                out.append((SAME.get(label, label), keyword, f"{name} (?:version |v )?{v}(?: or later| licen[cs]e)?", VERSIONED, False))
+                out.append((SAME.get(label, label), keyword, f"{name} (?:version |v ?)?{v}(?: or later| licen[cs]e)?", VERSIONED, False))
         for name in names:
             out.append((SAME.get(label, label), keyword, name, NAMED, False))
     out += [(label, phrase.split()[-1] if phrase != "cc by" else "cc", phrase, NAMED, True) for phrase, label in BASE.items()]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, global_rank, lookup, uniform, written
+from .common import WORD, global_rank, held, lookup, uniform
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 SEEDS = 32
@@ -37,10 +37,10 @@ def _draw(k: int | Column) -> Column:
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``sources`` (source, source_size) with ``target``: weights repeat in the sources' order, null last."""
-    # a written table; sources are few or many, and each step is an aggregate over them
+    # sources are few or many: each step is an aggregate over them
     ranked = global_rank(sources, [F.col("source").asc_nulls_last()], "mix-sources", "rank", 8)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = written(ranked.withColumn("weight", weight), "mix-weights")
+    ranked = held(ranked.withColumn("weight", weight))
     cap = F.col("source_size") * F.lit(float(most))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     budget, level = share * total, 0.0  # below the level, target = level * weight; a source is full when that passes its cap
@@ -55,10 +55,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 
 
 def plan(sized: DataFrame, **how) -> DataFrame:
-    """For each source of ``sized`` (source, size, __h): source_size, target, rate, seed. A written table."""
-    totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-totals")
+    """For each source of ``sized`` (source, size, __h): source_size, target, rate, seed."""
+    totals = held(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     planned = targets(totals, **how).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    planned = written(planned, "mix-targets")
+    planned = held(planned)
     part = F.col("rate") - F.floor("rate")
     taken = [F.sum(F.when(_draw(k) < part, F.col("size")).otherwise(0)).alias(f"k{k}") for k in range(SEEDS)]
     sums = lookup(sized, planned.select("source", "rate"), "source").groupBy("source").agg(*taken)
@@ -66,7 +66,7 @@ def plan(sized: DataFrame, **how) -> DataFrame:
     seeds = sums.join(planned.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
     best = F.least(*missing)
     seed = F.coalesce(*(F.when(m == best, F.lit(k)) for k, m in enumerate(missing)))
-    return written(seeds.select("source", "source_size", "target", "rate", seed.alias("seed")), "mix-plan")
+    return held(seeds.select("source", "source_size", "target", "rate", seed.alias("seed")))
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     made = ("size", "copies", "source_size", "target", "rate", "seed")
     clash = {c: f"__in_{c}" for c in names if c in made}
     inner = docs.withColumnsRenamed(clash)
-    slim = written(sized(inner.select("doc_id", "text", "source")).select("source", "size", "__h"), "mix-sizes")
+    slim = held(sized(inner.select("doc_id", "text", "source")).select("source", "size", "__h"))
     out = copies(sized(inner), plan(slim, **how))
     out = out.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.select(*(F.col(clash.get(c, c)).alias(c) for c in names))
@@ -94,6 +94,6 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    slim = written(sized(docs).select("doc_id", "source", "size", "__h"), "mix-sizes")
+    slim = held(sized(docs).select("doc_id", "source", "size", "__h"))
     out = copies(slim, plan(slim.select("source", "size", "__h")))
     return out.select("doc_id", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "rate")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import eliasfano as ef
-from .common import new_path, small_batches, written
+from .common import held, new_path, small_batches
 from .words import word_hashes
 
 ADD, DISCOUNT, KEEP, WORD_COUNT = 0.1, 0.75, 2, 8
@@ -342,7 +342,7 @@ def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
         mass = np.where((counts >= WORD_COUNT) & (keys != END), counts, 0)
         return _out([{"kind": "shard", "shard": k, "n": len(keys), "mass": int(mass.sum()), "most": int(counts.sum()), "points": _points(np.arange(len(keys)), mass)}])
 
-    words = written(texts.mapInArrow(count_words, PACKED).groupBy("shard").applyInArrow(write_words, ROW), "lm-words")
+    words = held(texts.mapInArrow(count_words, PACKED).groupBy("shard").applyInArrow(write_words, ROW))
     stats = _collect(words, shards)
     n1 = np.array([s["n"] for s in stats], np.int64)
     base1 = np.cumsum(n1) - n1
@@ -375,7 +375,7 @@ def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
             ef.save(f"{path}/{lower}-{j}", {"gamma": _code(np.maximum(1 - taken, 0))})
             return _out([{"kind": "gamma", "shard": j}])
 
-        found = written(texts.mapInArrow(count, PACKED).groupBy("shard").applyInArrow(write, ROW), f"lm-level{level}")
+        found = held(texts.mapInArrow(count, PACKED).groupBy("shard").applyInArrow(write, ROW))
         gammas = found.filter("kind = 'share'").groupBy("shard").applyInArrow(write_gammas, ROW).select("kind", "shard", "shares").collect()
         have = {r["shard"] for r in gammas}
         for j, n in enumerate(at[f"n{level - 1}"]):

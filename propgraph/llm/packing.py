@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import held, small_batches
 
 CAPACITY, END, SLICES = 2048, 0, 64
 #: Words, and pieces of words, whose ids a worker keeps: the first ones that it meets, among them all common ones.
@@ -242,7 +242,7 @@ def places(fillings: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a written table) with sequence_id and offset."""
+    """``pieces`` (which is read three times) with sequence_id and offset."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     where = spark.sparkContext.broadcast(places(solve(counts, capacity)))
@@ -272,7 +272,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text) with their sequence and offset."""
-    return assign(written(tokenize(docs, path, capacity, end, keep_ids), "pack-pieces"), capacity)
+    return assign(held(tokenize(docs, path, capacity, end, keep_ids)), capacity)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import held
 
 SHARDS, HEADS, SLICES, FIXED_BYTES = 24, 1024, 64, 8
 
@@ -43,7 +43,7 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``rows`` (with group string, size) with ``shard``. Rows are joined to two broadcast tables of bounded size."""
     spark = rows.sparkSession
     bundles = shards * HEADS
-    groups = written(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups")
+    groups = held(rows.groupBy("group").agg(F.sum("size").alias("bytes")))
     total = groups.agg(F.sum("bytes")).first()[0] or 0
     head = F.col("bytes") * bundles > F.lit(total)  # fewer than `bundles` groups can be so large
     bundle = F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int")
@@ -60,7 +60,7 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 def with_slots(rows: DataFrame, order: list) -> DataFrame:
     """``rows`` (with shard) with ``slot``: gapless from 0 in each shard, by slice and then ``order``."""
     sliced = rows.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
-    sliced = written(sliced, "shard-rows")
+    sliced = held(sliced)
     counts = sliced.groupBy("shard", "__slice").count()
     w = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("shard", "__slice", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("__before"))  # SLICES rows a shard
@@ -80,5 +80,5 @@ def op2_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(body) + FIXED_BYTES).cast("long").alias("size"), F.sha2(body, 256).alias("group"), F.crc32(body).alias("text_crc32"))
-    out = with_slots(assign(written(rows, "shard-digests")), ["doc_id", "group"])
+    out = with_slots(assign(held(rows)), ["doc_id", "group"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

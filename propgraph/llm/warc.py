@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, new_path, small_batches, written
+from .common import BROADCAST_ROWS, held, new_path, small_batches
 
 LEAST, SALTS = 100, 16
 DATE = "2024-01-01T00:00:00Z"
@@ -82,7 +82,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     again = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    again = written(again.filter("n > 1 and first is not null").select(F.col("digest").alias("__d"), "first"), "warc-again")
+    again = held(again.filter("n > 1 and first is not null").select(F.col("digest").alias("__d"), "first"))
     if again.count() <= BROADCAST_ROWS:
         found = rows.join(F.broadcast(again), F.col("digest") == F.col("__d"), "left")
     else:
@@ -124,6 +124,8 @@ def _assemble(fragments: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not the start of a WARC record: {lines[0][:60]!r}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not headers.get("content-length", "").isdigit():
+            raise ValueError(f"{headers.get('warc-record-id')}: the record has no length")
         start, length = len(head) + len(sep), int(headers["content-length"])
         while len(held) < start + length:
             if not more():
