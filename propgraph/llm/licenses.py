@@ -38,7 +38,8 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "gpl-name": ("public", (r"gnu general public licen[cs]e", r"general public licen[cs]e"), ("1", "2", "2 0", "3", "3 0")),
     "gpl-short": ("gpl", (r"(?:gnu )?gpl",), ("1", "2", "2 0", "3", "3 0", "v2", "v3")),
     "gfdl": ("documentation", (r"(?:gnu )?free documentation licen[cs]e",), ("1 1", "1 2", "1 3")),
-    "mit": ("mit", (r"mit licen[cs]e", r"expat licen[cs]e"), ()),
+    "mit": ("mit", (r"mit licen[cs]e",), ()),
+    "expat": ("expat", (r"expat licen[cs]e",), ()),
     "bsd": ("bsd", (r"bsd licen[cs]e", r"bsd [234] clause(?: licen[cs]e)?", r"[234] clause bsd(?: licen[cs]e)?", r"(?:new|modified|simplified|revised) bsd licen[cs]e"), ()),
     "isc": ("isc", (r"isc licen[cs]e",), ()),
     "mpl": ("mozilla", (r"mozilla public licen[cs]e",), ("1 0", "1 1", "2 0")),
@@ -80,7 +81,7 @@ FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
     "no-warranty": ("warranty", (r"without warranty of any kind", r"without any warranty"), ()),
 }
 #: Labels of several families that are one license.
-SAME = {"copyrighted": "copyright", "cc-by-nc-nd-long": "cc-by-nc-nd", "cc-by-nc-sa-long": "cc-by-nc-sa", "agpl-short": "agpl", "lgpl-library": "lgpl", "lgpl-short": "lgpl", "gpl-name": "gpl", "gpl-short": "gpl", "mpl-short": "mpl", "cc-zero": "cc0", "cc-by-nc-long": "cc-by-nc", "cc-by-sa-long": "cc-by-sa", "cc-by-name": "cc-by", "cc-by-long": "cc-by"}
+SAME = {"copyrighted": "copyright", "expat": "mit", "cc-by-nc-nd-long": "cc-by-nc-nd", "cc-by-nc-sa-long": "cc-by-nc-sa", "agpl-short": "agpl", "lgpl-library": "lgpl", "lgpl-short": "lgpl", "gpl-name": "gpl", "gpl-short": "gpl", "mpl-short": "mpl", "cc-zero": "cc0", "cc-by-nc-long": "cc-by-nc", "cc-by-sa-long": "cc-by-sa", "cc-by-name": "cc-by", "cc-by-long": "cc-by"}
 GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?"
 #: How sure a form is: a sentence that grants, a name with its version, a bare name.
 GRANTED, VERSIONED, NAMED = 1.0, 0.9, 0.6
