@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import held, small_batches
 
-CAPACITY, END, SLICES = 2048, 0, 64
+CAPACITY, END = 2048, 0
+#: A length's pieces are ranked in so many slices at least, and in more where a slice would have more rows than this.
+SLICES, SLICE_ROWS = 64, 1_000_000
 #: Words, and pieces of words, whose ids a worker keeps: the first ones that it meets, among them all common ones.
 CACHE = 250_000
 NODES, ROUNDS = 3000, 8
@@ -247,12 +249,14 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     where = spark.sparkContext.broadcast(places(solve(counts, capacity)))
     order = ["doc_id", "piece", "ids_crc32"]
-    sliced = pieces.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
+    slices = spark.createDataFrame([(k, max(SLICES, -(-n // SLICE_ROWS))) for k, n in counts.items()], "length long, __slices int")
+    dealt = pieces.join(F.broadcast(slices), "length")  # at most `capacity` rows
+    sliced = dealt.withColumn("__slice", F.pmod(F.xxhash64(*order), F.col("__slices")).cast("int")).drop("__slices")
     sums = sliced.groupBy("length", "__slice").agg(F.count("*").alias("__n"))
     w = Window.partitionBy("length").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("length", "__slice", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("length", "__slice").orderBy(*order)) - 1
-    ranked = sliced.withColumn("__inside", inside).join(F.broadcast(before), ["length", "__slice"])  # capacity * SLICES rows at most
+    ranked = sliced.withColumn("__inside", inside).join(F.broadcast(before), ["length", "__slice"])  # at most capacity * SLICES rows, and one for each SLICE_ROWS pieces
     ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__inside")).cast("long").alias("__rank"))
     names = [*pieces.columns, "sequence_id", "offset"]
 

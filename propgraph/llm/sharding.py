@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import held
 
-SHARDS, HEADS, SLICES, FIXED_BYTES = 24, 1024, 64, 8
+SHARDS, HEADS, FIXED_BYTES = 24, 1024, 8
+#: A shard's rows are numbered in so many slices at least, and in more where a slice would have more rows than this.
+SLICES, SLICE_ROWS = 64, 1_000_000
 
 
 def lpt(items: list[tuple], shards: int) -> dict:
@@ -59,11 +61,13 @@ def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def with_slots(rows: DataFrame, order: list) -> DataFrame:
     """``rows`` (with shard) with ``slot``: gapless from 0 in each shard, by slice and then ``order``."""
-    sliced = rows.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
-    sliced = held(sliced)
+    rows = held(rows)
+    largest = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    slices = max(SLICES, -(-largest // SLICE_ROWS))
+    sliced = rows.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
     counts = sliced.groupBy("shard", "__slice").count()
     w = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("shard", "__slice", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("__before"))  # SLICES rows a shard
+    before = counts.select("shard", "__slice", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("__before"))  # a row for each slice
     inside = F.row_number().over(Window.partitionBy("shard", "__slice").orderBy(*order)) - 1
     out = sliced.withColumn("__inside", inside).join(F.broadcast(before), ["shard", "__slice"])
     return out.withColumn("slot", (F.col("__before") + F.col("__inside")).cast("long")).drop("__slice", "__before", "__inside")
