@@ -180,7 +180,7 @@ def _pairs_of_runs(groups: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
     """All pairs of groups that share a token, from runs of groups by token; runs of one length at a time."""
     for r in np.unique(lengths[lengths > 1]):
         s = starts[lengths == r]
-        step = max(1, 4_000_000 // (r * r))
+        step = max(1, 1_000_000 // (r * r))
         for at in range(0, len(s), step):
             block = groups[s[at : at + step, None] + np.arange(r)]
             if r < 2000:
@@ -229,7 +229,7 @@ def group_overlaps(kept: DataFrame, common, percent: int, slack: int, tokens: in
         for a, b in _pairs_of_runs(g, starts, lengths):
             held.append((a, b, np.ones(len(a), np.int64)))
             size += len(a)
-            if size > 8_000_000:
+            if size > 2_000_000:
                 held = [merged(held)]
                 size = len(held[0][0])
         a, b, c = merged(held) if held else (np.zeros(0, np.int64),) * 3
