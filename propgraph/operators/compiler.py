@@ -8,7 +8,7 @@ soon as their variables are bound, which matters in front of variable-length pat
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -173,6 +173,11 @@ class Planner:
     def path(self, s: Bindings, path: A.Path) -> Bindings:
         names = [n.variable or f"<{self.prefix()}>" for n in path.nodes]
         known = next((k for k, n in enumerate(names) if n in s.variables), None)
+        if known is None and s.df is None and self.on_edges(path):
+            s = self.first_hop(s, names[0], path.nodes[0], path.edges[0], names[1], path.nodes[1])
+            for k in range(1, len(path.edges)):
+                s = self.hop(s, names[k], path.edges[k], names[k + 1], path.nodes[k + 1])
+            return s
         if known is None:
             own = self.start(Bindings(self.graph), names[0], path.nodes[0])
             s = own if s.df is None else replace(own, df=s.df.crossJoin(own.df), variables={**s.variables, **own.variables}, kinds=s.kinds)
@@ -196,6 +201,26 @@ class Planner:
         self.waiting += self.equalities(name, p.properties)
         return self.settle(s)
 
+    def on_edges(self, path: A.Path) -> bool:
+        """Whether a path can begin with its first edge's table: what is read of the first node is in the edges' ends."""
+        if not path.edges or path.edges[0].hops is not None or not self.graph.whole:
+            return False
+        p, e = path.nodes[0], path.edges[0]
+        types = self.graph.labels("edge", e.label)
+        back = {"out": "in", "in": "out", "any": "any"}[e.direction]
+        ends = self.far_labels(types, back, tuple(self.graph.nodes))
+        labels = self.graph.labels("node", p.label)
+        if ends is None or len(ends) != 1 or ends[0] not in labels:
+            return False
+        return p.variable != path.nodes[1].variable and not self.wanted("node", p.variable, labels, (k for k, _ in p.properties)) and not p.properties
+
+    def first_hop(self, s: Bindings, near: str, p: A.NodePattern, e: A.EdgePattern, far: str, q: A.NodePattern) -> Bindings:
+        types = self.graph.labels("edge", e.label)
+        back = {"out": "in", "in": "out", "any": "any"}[e.direction]
+        a = Binding("node", self.prefix(), self.far_labels(types, back, tuple(self.graph.nodes)), ())
+        label = F.lit(a.labels[0] or None).cast("string")
+        return self.along(replace(s, variables={near: a}), a, e, types, far, q, lambda edges, eb: edges.withColumn(f"{a.prefix}#id", eb.col("near")).withColumn(f"{a.prefix}#label", label))
+
     def far_labels(self, edges: tuple[str, ...], direction: str, near: tuple[str, ...]) -> tuple[str, ...] | None:
         """Labels that the far ends of edges can have; None if that is not known."""
         out: dict[str, None] = {}
@@ -213,13 +238,14 @@ class Planner:
     def oriented(self, b: Binding, direction: str) -> DataFrame:
         """Edges with ``near`` and ``far`` columns, each as often as it can be walked."""
         t = self.table(b)
-
-        def one(near: str, far: str) -> DataFrame:
-            return t.withColumn(f"{b.prefix}#near", b.col(near)).withColumn(f"{b.prefix}#far", b.col(far))
-
+        near, far = f"{b.prefix}#near", f"{b.prefix}#far"
         if direction == "any":
-            return one("src", "dst").unionByName(one("dst", "src"))
-        return one("src", "dst") if direction == "out" else one("dst", "src")
+            # both ways from one reading of the table
+            ways = F.array(*(F.struct(b.col(x).alias("n"), b.col(y).alias("f")) for x, y in (("src", "dst"), ("dst", "src"))))
+            both = t.withColumn("<way>", F.explode(ways))
+            return both.withColumn(near, F.col("`<way>`.n")).withColumn(far, F.col("`<way>`.f")).drop("<way>")
+        x, y = ("src", "dst") if direction == "out" else ("dst", "src")
+        return t.withColumn(near, b.col(x)).withColumn(far, b.col(y))
 
     def hop(self, s: Bindings, near: str, e: A.EdgePattern, far: str, p: A.NodePattern) -> Bindings:
         a = s.variables[near]
@@ -228,12 +254,15 @@ class Planner:
         types = self.graph.labels("edge", e.label)
         if e.hops is not None:
             return self.walk(s, a, e, types, far, p)
+        return self.along(s, a, e, types, far, p, lambda edges, eb: s.df.join(edges, a.id == eb.col("near")))
+
+    def along(self, s: Bindings, a: Binding, e: A.EdgePattern, types: tuple[str, ...], far: str, p: A.NodePattern, attach: Callable[[DataFrame, Binding], DataFrame]) -> Bindings:
+        """Binds an edge and its far node; ``attach`` puts the edges to what is bound."""
         eb = self.bind("edge", e.variable, types, (k for k, _ in e.properties))
         name = e.variable or f"<{eb.prefix}>"
         if name in s.variables:
             raise AnalysisError(f"the variable {name} is bound already")
-        edges = self.oriented(eb, e.direction)
-        df = s.df.join(edges, a.id == eb.col("near")).drop(f"{eb.prefix}#near")
+        df = attach(self.oriented(eb, e.direction), eb).drop(f"{eb.prefix}#near")
         s = replace(s, df=df, variables={**s.variables, name: eb})
         self.waiting += self.equalities(name, e.properties)
         s = self.settle(s)
