@@ -22,6 +22,7 @@ import json
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,13 +157,37 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     return [x for v in open_.values() for x in v]
 
 
-def completions(counts: dict[int, int], lengths: list[int], room: int, waste: int, skip: int = 0) -> dict[int, int]:
+def undominated(filling: dict[int, int], counts: dict[int, int], lengths: list[int], left: int) -> dict[int, int]:
+    """``filling`` with pieces replaced by larger ones that are there and still fit, until none can be: a filling that
+    can take such a piece is dominated by the one that has it. ``lengths`` descend."""
+    rising = lengths[::-1]
+    out, moved = dict(filling), True
+    while left and moved:
+        moved = False
+        for a in sorted(out):
+            for i in range(bisect_right(rising, a + left) - 1, bisect_right(rising, a) - 1, -1):
+                x = rising[i]
+                if counts[x] > out.get(x, 0):
+                    out[a] -= 1
+                    if not out[a]:
+                        del out[a]
+                    out[x] = out.get(x, 0) + 1
+                    left, moved = left - (x - a), True
+                    break
+            if moved:
+                break
+    return out
+
+
+def completions(counts: dict[int, int], lengths: list[int], room: int, skip: int = 0) -> dict[int, int]:
     """The undominated filling of ``room`` with the least waste that the node budget finds; ``skip`` passes over as many exact ones.
 
     A filling is dominated by one that has a single piece where it has several of the same sum, so that larger
-    lengths are tried first; a branch ends where even filling all its room cannot beat the best so far.
+    lengths are tried first, and one that fills the room stands alone. A branch that nothing more fits into is pruned
+    unless its waste is below the best so far. ``lengths`` descend.
     """
     best, best_left, nodes, passed = {}, room + 1, 0, 0
+    least = lengths[-1] if lengths else 0
     stack: list[tuple[int, int, dict]] = [(room, 0, {})]
     while stack and nodes < NODES:
         left, at, taken = stack.pop()
@@ -170,22 +195,23 @@ def completions(counts: dict[int, int], lengths: list[int], room: int, waste: in
         if left < best_left:
             best, best_left = taken, left
         if left and counts.get(left, 0) > taken.get(left, 0):
+            exact = {**taken, left: taken.get(left, 0) + 1}
             if passed >= skip:
-                return {**taken, left: taken.get(left, 0) + 1}
+                return exact
             passed += 1
-            best, best_left = {**taken, left: taken.get(left, 0) + 1}, 0
+            best, best_left = exact, 0
             continue
         if best_left <= 0 and passed >= skip:
             break
         more = []
-        for i in range(at, len(lengths)):
+        for i in range(bisect_left(lengths, -left, lo=at, key=lambda x: -x), len(lengths)):
             x = lengths[i]
-            if x <= left and counts[x] > taken.get(x, 0):
+            if counts[x] > taken.get(x, 0) and (left - x >= least or left - x < best_left):
                 more.append((left - x, i, {**taken, x: taken.get(x, 0) + 1}))
                 if len(more) >= 64:
                     break
         stack.extend(reversed(more))
-    return best
+    return undominated(best, counts, lengths, best_left) if 0 < best_left <= room else best
 
 
 def complete(counts: dict[int, int], capacity: int, allowed: int, skip: int) -> list[tuple[dict[int, int], int]] | None:
@@ -195,7 +221,7 @@ def complete(counts: dict[int, int], capacity: int, allowed: int, skip: int) ->
     while lengths:
         first = lengths[0]
         counts[first] -= 1
-        rest = completions(counts, lengths, capacity - first, allowed - waste, skip)
+        rest = completions(counts, lengths, capacity - first, skip)
         counts[first] += 1
         filling = {**rest, first: rest.get(first, 0) + 1}
         times = min(counts[k] // m for k, m in filling.items())
