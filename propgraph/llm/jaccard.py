@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, held, small_batches, written
+from .common import BROADCAST_ROWS, held, lookup, small_batches, written
 from .components import connected_components
 from .words import word_hashes
 
@@ -362,7 +362,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     often = docs.sparkSession.sparkContext.broadcast(common_tokens(kept, common))
     rows = held(members(kept, often, percent, slack))
     # equal sets collapse here; a set with a third of all rows is one row of each task's partial aggregate
-    reps = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.max("sat").alias("sat"), F.min("req").alias("req"))
+    reps = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.max("sat").alias("sat"), F.min("req").alias("req"), F.count(F.lit(1)).alias("copies"))
     reps = held(reps)
     groups = held(reps.groupBy("grp").agg(F.max("sat").alias("sat"), F.min("req").alias("req"), F.min("n").alias("least"), F.max("n").alias("most")))
     pairs = group_overlaps(kept, often, percent, slack, tokens // 8)
@@ -373,12 +373,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = pairs.filter((F.col("shared") >= asked) & sizes).select(F.col("g").alias("a"), F.col("h").alias("b"))
     chains = connected_components(links).select(F.col("node").alias("grp"), F.col("component").alias("chain"))
     placed = held(reps.join(chains, "grp", "left").withColumn("sg", F.coalesce("chain", "grp")).select("rep", "d1", "d2", "n", "sg"))
-    more = placed.groupBy("sg").agg(F.count("*").alias("sets"), F.sum("n").alias("of")).filter("sets > 1").drop("sets")
-    wanted = held(placed.join(more, "sg").filter("rep is not null"))
+    more = held(placed.groupBy("sg").agg(F.count("*").alias("sets"), F.sum("n").alias("of")).filter("sets > 1").drop("sets"))
+    wanted = held(lookup(placed, more, "sg").filter("of is not null and rep is not null"))
     opened = open_groups(wanted, docs, words, percent, block)
-    classes = reps.join(opened, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.join(classes, ["d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    # a set of one document that links with nothing is its own component; the others are looked up, salted if they are many
+    classes = reps.join(opened, ["d1", "d2"], "left").filter("copies > 1 or component <> rep")
+    classes = held(classes.select(F.struct("d1", "d2").alias("set"), F.coalesce("component", "rep").alias("found"), F.lit(True).alias("known")))
+    out = lookup(rows.withColumn("set", F.struct("d1", "d2")), classes, "set")
+    own = F.when((F.col("n") == 0) | F.col("known").isNull(), F.col("doc_id")).otherwise(F.col("found"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op5_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -124,3 +124,13 @@ def test_join_sets_is_exact():
                 if 100 * len(x & y) >= 50 * len(x | y):
                     parent[a] = parent[b] = min(parent[a], parent[b])
     assert k.tolist() == parent
+
+
+def test_lookups_without_broadcast(corpus, monkeypatch):
+    """The salted joins that take the place of broadcasts where there are too many rows for these."""
+    from propgraph.llm import common
+
+    monkeypatch.setattr(common.lookup, "__defaults__", (4, 0))
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
+    rows, df = corpus
+    check(df, rows)
