@@ -37,7 +37,7 @@ CAPACITY, END = 2048, 0
 #: A length's pieces are ranked in so many slices at least, and in more where a slice would have more rows than this.
 SLICES, SLICE_ROWS = 64, 1_000_000
 #: Words, and pieces of words, whose ids a worker keeps: the first ones that it meets, among them all common ones.
-CACHE = 250_000
+CACHE = 100_000
 NODES, ROUNDS = 3000, 8
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
