@@ -37,7 +37,7 @@ CAPACITY, END = 2048, 0
 #: A length's pieces are ranked in so many slices at least, and in more where a slice would have more rows than this.
 SLICES, SLICE_ROWS = 64, 1_000_000
 #: Words, and pieces of words, whose ids a worker keeps: the first ones that it meets, among them all common ones.
-CACHE = 100_000
+CACHE = 250_000
 NODES, ROUNDS = 3000, 8
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -109,17 +109,6 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """The one of this process: a worker reads the file once, and keeps its tables from task to task."""
-    if path not in _encoders:
-        _encoders.clear()
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32 (and ids, little-endian, if asked for)."""
     last = np.asarray([end], "<u4").tobytes()
@@ -129,7 +118,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = encoder(path)
+        enc = Encoder(path)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * keep_ids]
         for b in batches:
             rows = []
