@@ -4,8 +4,9 @@ For each language a zstandard raw-content dictionary is made of training text. A
 dictionary in blocks; the language whose dictionary gives the fewest bytes is chosen. A choice whose margin over
 the next language is narrow is marked as rejected.
 
-Training: for each language at most ``docs_per_lang`` documents are taken, those with the smallest hashes among the
-given training rows, and ``chars_per_doc`` characters of each; this bounded sample is all that reaches the driver.
+Training: for each language at most ``docs_per_lang`` different texts are taken, those with the smallest hashes among
+the given training rows (copies count as one), and ``chars_per_doc`` characters of each. The driver gets about four
+times as many, copies collapsed, and no more.
 Prediction reads whole texts: no prefix, no cap.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; null languages are not
@@ -48,18 +49,20 @@ def plain(text: str) -> bytes:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> dict[str, bytes]:
     """Raw dictionary content for each language, the most frequent first, from at most ``docs_per_lang`` * ``chars_per_doc`` characters each."""
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return {}
     hashed = rows.withColumn("h", F.xxhash64("text", F.lit(17)))
-    # a threshold for each language leaves about four times the rows needed; the ones with the smallest hashes stay
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4 * docs_per_lang / n))))
+    # equal texts count once: a text with a third of all rows is one row of each task's partial aggregate
+    texts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    if not texts:
+        return {}
+    counts = {r["lang"]: r["n"] for r in texts}
+    # a threshold for each language leaves about four times the texts needed; the ones with the smallest hashes stay
+    share = F.create_map(*(F.lit(x) for r in texts for x in (r["lang"], min(1.0, 4 * docs_per_lang / r["texts"]))))
     u = F.shiftrightunsigned("h", 11).cast("double") * F.lit(2.0**-53)
-    kept = hashed.filter(u <= F.element_at(share, F.col("lang"))).select("lang", "h", F.substring("text", 1, chars_per_doc).alias("text"))
+    kept = hashed.filter(u <= F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars_per_doc)).alias("text"))
     found: dict[str, list] = {}
     for r in kept.collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: b" ".join(plain(t) for _, t in sorted(set(v))[:docs_per_lang]) for k, v in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0]))}
+        found.setdefault(r["lang"], []).append((r["h"] % 2**64, r["text"]))
+    return {k: b" ".join(plain(t) for _, t in sorted(v)[:docs_per_lang]) for k, v in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 class Compressor:

@@ -124,6 +124,21 @@ def test_und_ties_and_bounds(spark, frame):
     assert langid.identify(frame([]).limit(0).select("doc_id", "text"), content).count() == 0
 
 
+def test_copies_take_no_place_in_the_dictionary(spark, frame):
+    """A language that is 99.9% copies of one text learns of its other texts as one without copies does."""
+    r = random.Random(6)
+    other = [(k, speak("one", r, 40), "one", "s", 0) for k in range(300)]
+    few = [(1000 + k, speak("two", r, 40), "two", "s", 0) for k in range(100)]
+    df = frame([*other, *few])
+    copies = spark.range(100_000).selectExpr("id + 2000 as doc_id", "'schpfezaugen verschpfezau' as text", "'two' as lang", "'s' as source", "0L as n_chars")
+    content = langid.fit(df.unionByName(copies))
+    assert list(content) == ["two", "one"]  # the language with more rows first
+    own = {langid.plain(x[1]) for x in few} | {b"schpfezaugen verschpfezau"}
+    assert sum(content["two"].count(x) for x in own) == langid.DOCS_PER_LANG
+    # the same texts as without any repeat
+    assert content == {k: langid.fit(df.unionByName(copies.limit(1)))[k] for k in content}
+
+
 def test_without_training_rows(frame):
     assert langid.fit(frame([(1, "text", None, "s", 0)])) == {}
     assert langid.identify(frame([(1, "text")]).select("doc_id", "text"), {}).first()["lang_pred"] == "und"
