@@ -5,8 +5,8 @@ The model is a trigram model with interpolated absolute discounting over an addi
     P1(w)        = (c(w) + 0.1) / (N + 0.1 (V + 1))
     Pk(w | ctx)  = max(c(ctx w) - D, 0) / c(ctx) + gamma(ctx) P(k-1)(w | shorter ctx)
 
-gamma(ctx) is what the kept n-grams of ctx leave, so that each distribution sums to one. N-grams are kept that occur
-``KEEP`` times or more and whose words each occur ``WORD_COUNT`` times or more; all counts are over all training text.
+gamma(ctx) is what the kept n-grams of ctx leave, so that each distribution sums to one. All n-grams are kept that
+occur ``KEEP`` times or more, however rare their words are; all counts are over all training text.
 
 The trie is three levels of files, sharded by ranges of equal mass. Level 1: the words' 64-bit hashes, an Elias-Fano
 sequence; a word's id is its place. Levels 2 and 3: the contexts, an Elias-Fano sequence of ids; monotone pointers to
@@ -38,7 +38,9 @@ from . import eliasfano as ef
 from .common import held, new_path, small_batches
 from .words import word_hashes
 
-ADD, DISCOUNT, KEEP, WORD_COUNT = 0.1, 0.75, 2, 8
+ADD, DISCOUNT, KEEP = 0.1, 0.75, 2
+#: N-grams with a rarer word are not counted; none of them can occur KEEP times, so nothing that is kept is lost.
+WORD_COUNT = KEEP
 #: Tokens: of a chunk of text that is counted at a time, and of a shard of the trie. Points of mass that each shard tells the driver.
 CHUNK_BYTES, SHARD_TOKENS, POINTS = 8 << 20, 4_000_000, 16
 _RANGE, _STEPS = 12.0, 65535
@@ -232,7 +234,7 @@ class Trie:
 
 
 def _sequence(t: Trie, h: np.ndarray, first: np.ndarray) -> tuple:
-    """Of tokens: id, the id before (the start's at first), count, and whether both words are common enough for n-grams."""
+    """Of tokens: id, the id before (the start's at first), count, and whether both words are common enough for an n-gram that is kept."""
     u, inverse = np.unique(h, return_inverse=True)
     ids, counts = t.words(u)
     w, c = ids[inverse], counts[inverse]
@@ -338,7 +340,7 @@ def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
     def write_words(x: pa.Table) -> pa.Table:
         k, keys, counts = _merge(x)
         ef.save(f"{path}/1-{k}", ef.named("word", ef.build(keys)) | {"count": counts})
-        # n-grams begin with common words only, and END begins none
+        # kept n-grams begin with words that repeat, and END begins none
         mass = np.where((counts >= WORD_COUNT) & (keys != END), counts, 0)
         return _out([{"kind": "shard", "shard": k, "n": len(keys), "mass": int(mass.sum()), "most": int(counts.sum()), "points": _points(np.arange(len(keys)), mass)}])
 

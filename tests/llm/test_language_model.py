@@ -104,6 +104,26 @@ def test_against_dictionaries(corpus, shard_tokens):
     compare(info, naive, rows, df)
 
 
+def test_repeated_passages_of_rare_words(corpus, frame):
+    """Each n-gram that occurs KEEP times is in the model, also when its words occur nowhere else."""
+    rows, _ = corpus
+    passage = " ".join(f"rare{k}" for k in range(40))
+    once = " ".join(f"single{k}" for k in range(40))
+    rows = [*rows, *((5000 + k, passage) for k in range(lm.KEEP)), (6000, once)]
+
+    class Whole(Naive):
+        def common(self, w):
+            return True
+
+    df = frame(rows)
+    info = lm.train(df)
+    naive = Whole([t for _, t in rows])
+    assert info["n2"].sum() == len(naive.b) and info["n3"].sum() == len(naive.t)
+    compare(info, naive, rows, df)
+    got = {r["doc_id"]: r for r in lm.score(df.filter("doc_id >= 5000"), info).collect()}
+    assert got[5000]["score"] > got[5000]["base_score"] / 2 and got[6000]["score"] < got[5000]["score"]
+
+
 def test_distributions_sum_to_one(corpus):
     rows, df = corpus
     naive = Naive([t for _, t in rows])
