@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 from propgraph import GraphSession, suite
-from propgraph.sources.tables import star_graph
+from propgraph.sources.tables import next_parts, star_graph
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
@@ -80,3 +80,20 @@ def test_against_duckdb(spark, name):
         return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
 
     assert key(tuple(r) for r in df.select(*names).collect()) == key(expected.fetchall())
+
+
+@pytest.mark.parametrize(("name", "least", "most"), [("var_1_3", 1, 3), ("var_min2", 2, 20), ("var_open", 1, 20)])
+def test_paths_start_from_every_part(spark, name, least, most):
+    """Against breadth-first search in Python from all parts."""
+    edges = {}
+    for a, b in next_parts(spark.read.parquet(f"{DATA}/lineitem.parquet")).collect():
+        edges.setdefault(a, set()).add(b)
+    expected = set()
+    for (root,) in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey").collect():
+        depth, level = {root: 0}, [root]
+        for d in range(1, most + 1):
+            level = {b for a in level for b in edges.get(a, ())} - depth.keys()
+            depth.update(dict.fromkeys(level, d))
+        expected |= {(root, k) for k, d in depth.items() if least <= d}
+    got = [tuple(r) for r in suite.queries()[name](spark, DATA).select("a", "b").collect()]
+    assert len(got) == len(expected) and set(got) == expected
