@@ -324,7 +324,8 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
         own = _opened(x, words)
         own.sort(key=lambda r: -r[4])  # role 1, the first member of all, is compared with the whole block
         k = join_sets([r[5] for r in own], percent)
-        return _table([(r[0], r[2], r[3], own[i][2], r[4], int(i == 0)) for r, i in zip(own, k, strict=True)], ["sg", "d1", "d2", "root", "role", "reached"])
+        led = bool(own) and own[0][4] == 1
+        return _table([(r[0], r[2], r[3], own[i][2], r[4], int(led and i == 0)) for r, i in zip(own, k, strict=True)], ["sg", "d1", "d2", "root", "role", "reached"])
 
     def second_step(x: pa.Table) -> pa.Table:
         own = _opened(x, words)
@@ -338,7 +339,7 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
     big = rows.filter(~fits).withColumn("blocks", F.ceil(F.col("of") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
     big = held(big)
     heads = big.groupBy("sg").agg(F.min(F.struct("rep", "d1", "d2")).alias("h")).select("sg", "h.*")
-    lead = big.join(heads, ["sg", "rep", "d1", "d2"], "left_semi").dropDuplicates(["sg"]).withColumn("role", F.lit(1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lead = big.join(heads, ["sg", "rep", "d1", "d2"], "left_semi").withColumn("role", F.lit(1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     near = big.unionByName(lead).groupBy("sg", "block").applyInArrow(first_step, "sg long, d1 long, d2 long, root long, role long, reached long")
     near = held(near)
     rest = near.filter("reached = 0 and role = 0").select("sg", "d1", "d2")

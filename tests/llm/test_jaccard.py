@@ -134,3 +134,13 @@ def test_lookups_without_broadcast(corpus, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     rows, df = corpus
     check(df, rows)
+
+
+def test_blocks_where_the_head_has_another_text_of_its_id(spark):
+    """The least id of a large chain also has texts that are not in it."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[:k], "edited", *base[k + 1 :]]) for k in range(0, 60, 2)]
+    odd = [(0, " ".join(f"o{j}x{k}" for k in range(30))) for j in range(12)]
+    df = spark.createDataFrame([*odd, *enumerate(texts), (50, " ".join(base))], "doc_id long, text string").coalesce(1)
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    assert key(jaccard.near_duplicates(df, block=200).collect()) == key(jaccard.near_duplicates(df).collect())
