@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,16 @@ def small_batches(spark: SparkSession) -> None:
 def held(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept by the executors, in memory or on disk; what a lost executor held is computed
     again from its sources. For tables that are read several times and whose rows do not depend on their order."""
-    return df.persist()
+    return _held.setdefault(df.sparkSession, []).append(out := df.persist()) or out
+
+
+_held: WeakKeyDictionary[SparkSession, list[DataFrame]] = WeakKeyDictionary()
+
+
+def release(spark: SparkSession) -> None:
+    """Gives back what ``held`` keeps for the session's earlier operators; for when their results have been written."""
+    for df in _held.pop(spark, []):
+        df.unpersist()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -10,13 +10,15 @@ separator is put together again by Content-Length when read, which is why a file
 task holds one record at a time.
 
 Reading parses records, checks their digests, joins request and metadata to the response by the concurrent-to
-identifier, revisits to the response that they refer to, and gives one nested row for each capture. Payloads are not
-shuffled unless they are asked for: sizes and digests are taken while parsing.
+identifier, and gives one nested row for each capture. Sizes and digests are taken while parsing; a revisit names the
+size (its HTTP header), the digest and the page of what it refers to, so that only its payload takes a join with the
+response, salted where many revisits refer to one. Payloads are not shuffled unless they are asked for.
 
 Equal payloads are found by partial aggregates of digests, and only digests that occur twice are joined back, salted,
 so that a payload that a third of all pages share is no hot task. Record ids derive from page id and payload.
 
-Defined results: a null html is an empty payload; a null url is an empty target; repeated rows (equal id and payload)
+Defined results: a null html is an empty payload; a null url is an empty target; a url that cannot be parsed is kept
+as the target, without a host in the request; repeated rows (equal id and payload)
 give as many captures, with equal record ids; of several rows with the smallest id each is a response; a null page id
 is written as an empty header, read as null, and is never referred to unless all ids of that payload are null (then
 all are responses); an empty table gives no files and no rows. Other columns are not read.
@@ -55,18 +57,28 @@ def _line(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
+def _host_and_path(url: str) -> tuple[str, str]:
+    """Of a url; no host and the root, where it is no url that can be parsed."""
+    try:
+        parts = urlsplit(url)
+    except ValueError:  # brackets that are not in pairs, letters that normalise to a separator
+        return "", "/"
+    if not parts.netloc:
+        return "", "/"
+    return parts.netloc, (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+
+
 def transaction(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> list[bytes]:
     """The three records of a page, without the separator that ends each."""
     url = _line(url)
-    parts = urlsplit(url) if "//" in url and "[" not in url else None
-    host, path = (parts.netloc, (parts.path or "/") + (f"?{parts.query}" if parts.query else "")) if parts else ("", "/")
+    host, path = _host_and_path(url)
     kind = "response" if refers_to is None else "revisit"
     own = record_id(kind, page_id, digest)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", url), ("X-Page-Id", "" if page_id is None else str(page_id))]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     answer = [("WARC-Type", kind), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     if refers_to is not None:
-        answer += [("WARC-Refers-To", record_id("response", refers_to, digest)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        answer += [("WARC-Refers-To", record_id("response", refers_to, digest)), ("X-Refers-To-Page-Id", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     asked = f"GET {path} HTTP/1.1\r\nHost: {host}\r\nAccept: text/html\r\n\r\n".encode()
     told = f"fetchTimeMs: 0\r\npayloadBytes: {len(payload)}\r\n".encode()
     return [
@@ -137,7 +149,16 @@ def _assemble(fragments: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
         yield headers, content
 
 
-RECORD = "type string, id string, concurrent_to string, refers_to string, page_id long, url string, date string, http string, payload binary, payload_bytes long, payload_digest string"
+def _length(http: str) -> int | None:
+    """The length that an HTTP head announces."""
+    for line in http.split("\r\n")[1:]:
+        k, _, v = line.partition(":")
+        if k.strip().lower() == "content-length" and v.strip().isdigit():
+            return int(v)
+    return None
+
+
+RECORD = "type string, id string, concurrent_to string, refers_to string, refers_to_page long, page_id long, url string, date string, http string, payload binary, payload_bytes long, payload_digest string"
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -158,8 +179,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     payload, n, digest = body, len(body), hashlib.sha256(body).hexdigest()
                     if h.get("warc-payload-digest") not in (None, f"sha256:{digest}"):
                         raise ValueError(f"{h.get('warc-record-id')}: the payload's digest differs")
-            page = h.get("x-page-id") or None
-            rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), page and int(page), h.get("warc-target-uri"), h.get("warc-date"), http, payload, n, digest))
+                elif h["warc-type"] == "revisit":
+                    n, digest = _length(http), (h.get("warc-payload-digest") or "").removeprefix("sha256:") or None
+            page, to = (h.get(k) or None for k in ("x-page-id", "x-refers-to-page-id"))
+            rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), to and int(to), page and int(page), h.get("warc-target-uri"), h.get("warc-date"), http, payload, n, digest))
             size += len(content)
             if len(rows) >= 500 or size > 8_000_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
@@ -175,18 +198,21 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """One nested row for each response or revisit: page_id, url, date, request, response, metadata.
 
-    A revisit's payload, its size and digest are those of the response it refers to.
+    A revisit's payload is that of the response it refers to (null where the archives do not have it).
     """
     said = records.filter("type in ('request', 'metadata')").groupBy(F.col("concurrent_to").alias("id"))
     # one row for each identifier: rows that were repeated name the same one with the same content
     said = said.agg(*(F.min(F.when(F.col("type") == k, F.struct(F.col("id").alias("record_id"), "http"))).alias(k) for k in ("request", "metadata")))
     own = records.filter("type in ('response', 'revisit')")
-    full = records.filter("type = 'response'").groupBy(F.col("id").alias("refers_to")).agg(F.min("page_id").alias("to_page"), F.min("payload_bytes").alias("to_bytes"), F.min("payload_digest").alias("to_digest"), F.min("payload").alias("to_payload"))
-    rows = own.filter("type = 'response'").withColumns({"to_page": F.lit(None).cast("long")})
-    back = own.filter("type = 'revisit'").drop("payload", "payload_bytes", "payload_digest").join(full, "refers_to", "left")
-    back = back.withColumnsRenamed({"to_bytes": "payload_bytes", "to_digest": "payload_digest", "to_payload": "payload"})
-    every = rows.unionByName(back).join(said, "id", "left")
-    response = F.struct(F.col("id").alias("record_id"), "type", "http", "payload", "payload_bytes", "payload_digest", "refers_to", F.col("to_page").alias("refers_to_page"))
+    # where payloads are not asked for, neither this nor the join stays in the plan
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    asked = own.filter("type = 'revisit'").select(F.col("refers_to").alias("to")).distinct()
+    full = records.filter("type = 'response'").join(asked, F.col("id") == F.col("to"), "left_semi").groupBy(F.col("id").alias("to")).agg(F.min("payload").alias("to_payload"))
+    full = full.withColumn("to_salt", salts).groupBy("to", "to_salt").agg(F.first("to_payload").alias("to_payload"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    every = own.withColumn("salt", salt).join(full, (F.col("refers_to") == F.col("to")) & (F.col("salt") == F.col("to_salt")), "left").join(said, "id", "left")
+    payload = F.when(F.col("type") == "response", F.col("payload")).otherwise(F.col("to_payload")).alias("payload")
+    response = F.struct(F.col("id").alias("record_id"), "type", "http", payload, "payload_bytes", "payload_digest", "refers_to", "refers_to_page")
     return every.select("page_id", "url", "date", "request", response.alias("response"), "metadata")
 
 
