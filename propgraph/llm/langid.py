@@ -4,14 +4,16 @@ For each language a zstandard raw-content dictionary is made of training text. A
 dictionary in blocks; the language whose dictionary gives the fewest bytes is chosen. A choice whose margin over
 the next language is narrow is marked as rejected.
 
-Training: for each language at most ``docs_per_lang`` different texts are taken, those with the smallest hashes among
-the given training rows (copies count as one), and ``chars_per_doc`` characters of each. The driver gets about four
-times as many, copies collapsed, and no more.
+Training: of each language exactly the ``docs_per_lang`` different texts with the smallest hashes are taken (all, if
+it has fewer: a language with one text has a dictionary), and of each a span of ``chars_per_doc`` characters at a
+place that its hash gives. Copies are collapsed before anything is chosen, so that they take no place. With more than
+``MOST_DOCS / docs_per_lang`` languages each has fewer texts, one at least. The driver gets the chosen spans alone.
 Prediction reads whole texts: no prefix, no cap.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; null languages are not
-learned; without any training rows every text is ``und``; ties go to the language with more training documents, then to the first by code point;
-repeated rows get equal results; columns of the input that have a result's name are replaced.
+learned; without any training rows every text is ``und``; ties go to the language with more training documents, then
+to the first by code point; repeated rows get equal results; an empty table gives an empty result; columns of the
+input that have a result's name are replaced (``names`` gives the results others).
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import held, small_batches
 
 DOCS_PER_LANG, CHARS_PER_DOC = 60, 1200
+#: Texts that are learned from in all, one for each language at least.
+MOST_DOCS = 60_000
 #: At level 11 zstandard matches the dictionary well enough to tell short texts apart.
 LEVEL = 11
 #: Bytes that are encoded at a time: a dictionary says little about the end of a long block.
@@ -38,12 +42,14 @@ NARROW = 0.002
 #: This relative margin, or more, is score 1.
 CLEAR = 0.25
 _LETTER = regex.compile(r"\p{L}")
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER, _OTHER_ASCII = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+")
 
 
 def plain(text: str) -> bytes:
-    """Lower-cased words of letters, one space apart: capitals, marks and digits tell no language from another."""
-    return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
+    """Lower-cased words of letters and their combining marks, one space apart: capitals, punctuation and digits tell
+    no language from another."""
+    low = text.lower()
+    return (_OTHER_ASCII if low.isascii() else _OTHER).sub(" ", low).encode("utf-8", "replace")
 
 
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_doc: int = CHARS_PER_DOC) -> dict[str, bytes]:
@@ -51,18 +57,20 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     hashed = rows.withColumn("h", F.xxhash64("text", F.lit(17)))
     # equal texts count once: a text with a third of all rows is one row of each task's partial aggregate
-    texts = hashed.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
-    if not texts:
-        return {}
-    counts = {r["lang"]: r["n"] for r in texts}
-    # a threshold for each language leaves about four times the texts needed; the ones with the smallest hashes stay
-    share = F.create_map(*(F.lit(x) for r in texts for x in (r["lang"], min(1.0, 4 * docs_per_lang / r["texts"]))))
-    u = F.shiftrightunsigned("h", 11).cast("double") * F.lit(2.0**-53)
-    kept = hashed.filter(u <= F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min(F.substring("text", 1, chars_per_doc)).alias("text"))
+    texts = held(hashed.groupBy("lang", "h").agg(F.count("*").alias("n")))
+    counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    each = max(1, min(docs_per_lang, MOST_DOCS // max(1, len(counts))))
+    # the limit of the window is applied in each task first: no language is one task's work
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = texts.select("lang", "h", place.alias("place")).filter(F.col("place") <= each).select("lang", "h")
+    start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - chars_per_doc + 1)) + 1
+    span = F.substring("text", start.cast("int"), F.lit(chars_per_doc))
+    kept = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(span).alias("text"))  # MOST_DOCS rows, or one a language
     found: dict[str, list] = {}
     for r in kept.collect():
-        found.setdefault(r["lang"], []).append((r["h"] % 2**64, r["text"]))
-    return {k: b" ".join(plain(t) for _, t in sorted(v)[:docs_per_lang]) for k, v in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0]))}
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    texts.unpersist()
+    return {k: b" ".join(plain(t) for _, t in sorted(v)) for k, v in sorted(found.items(), key=lambda x: (-counts[x[0]], x[0]))}
 
 
 class Compressor:
@@ -91,20 +99,19 @@ class Compressor:
         return self.langs[best], min(1.0, margin / CLEAR), bool(rest) and margin < NARROW
 
 
-def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred``, ``score`` (0 to 1, the margin) and ``rejected`` (a narrow margin, or ``und``)."""
-    made = ("lang_pred", "score", "rejected")
-    docs = docs.drop(*made)
+def identify(docs: DataFrame, content: dict[str, bytes], text: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with ``names``: the language, a score (0 to 1, the margin) and whether it is rejected (a narrow margin, or ``und``)."""
+    docs = docs.drop(*names)
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(content)  # at most languages * docs_per_lang * chars_per_doc characters
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = Compressor(model.value)
         for b in batches:
             found = [z.predict(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             cols = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *made])
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

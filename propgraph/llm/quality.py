@@ -161,7 +161,8 @@ def learn(rows: list[tuple[dict, bool]]) -> list[Rule]:
         rule = _prune(prune, _grow(grow))
         bad, good = _score(left, rule) if rule else (0, 0)
         held_bad, held_good = _score(prune, rule) if rule else (0, 0)
-        if bad < COVERS or bad < PRECISION * (bad + good) or held_bad < PRECISION * (held_bad + held_good):
+        # a rule has to show itself on rows that it was not grown on: one that covers none of them is not accepted
+        if bad < COVERS or bad < PRECISION * (bad + good) or not held_bad or held_bad < PRECISION * (held_bad + held_good):
             break
         rules.append(rule)
         left = [(r, b) for r, b in left if not _holds(r, rule)]
@@ -191,9 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> list[R
     return learn([({f: float(r[f]) for f in FEATURES}, r["quality"] == 0) for r in found if not r["failed"]])  # base conditions go first
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with statistics, ``base_failed``, ``rule`` (the first that rejects, or null) and ``kept``."""
-    rows = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    rows = statistics(docs, text).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 

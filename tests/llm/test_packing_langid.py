@@ -116,6 +116,9 @@ def test_und_ties_and_bounds(spark, frame):
     rows = [(k, speak(lang, r, 40), lang, "s", 0) for k in range(60) for lang in ("one", "two") if lang == "one" or k % 2] + [(900, "kalomi", None, "s", 0), (901, None, "one", "s", 0)]
     content = langid.fit(frame(rows), docs_per_lang=5, chars_per_doc=50)
     assert list(content) == ["one", "two"] and all(len(v) <= 5 * 51 for v in content.values())
+    # spans lie anywhere in the texts, not only at their beginnings
+    spans = langid.fit(frame([(k, "aaaa " * 50 + "zzzz " * 50, "one", "s", 0) if k else (k, "b", "one", "s", 0) for k in range(2)]), chars_per_doc=20)
+    assert len(spans["one"]) <= 42
     odd = [(1, None), (2, ""), (3, "12 !? _"), (4, "x"), (4, "x"), (5, "日本"), (None, speak("two", r, 30))]
     df = frame(odd).select("doc_id", "text").withColumn("score", F.lit("clash"))
     got = sorted(((x["doc_id"], x["lang_pred"], x["rejected"]) for x in langid.identify(df, content).collect()), key=str)
@@ -139,6 +142,51 @@ def test_copies_take_no_place_in_the_dictionary(spark, frame):
     assert content == {k: langid.fit(df.unionByName(copies.limit(1)))[k] for k in content}
 
 
+def test_each_language_has_a_dictionary(spark, frame):
+    """Also one of three texts that are copied thousands of times, next to larger ones."""
+    r = random.Random(9)
+    texts = [speak("three", r, 60) for _ in range(3)]
+    copies = spark.range(9000).selectExpr("id + 5000 as doc_id", f"element_at(array('{texts[0]}', '{texts[1]}', '{texts[2]}'), cast(id % 3 + 1 as int)) as text", "'three' as lang", "'s' as source", "0L as n_chars")
+    rows = [(k, speak(lang, r, 40), lang, "s", 0) for k in range(200) for lang in ("one", "two")] + [(900, "solo kiri kiri", "rare", "s", 0)]
+    content = langid.fit(frame(rows).unionByName(copies))
+    assert sorted(content) == ["one", "rare", "three", "two"] and sorted(content["three"].decode().split()) == sorted(" ".join(texts).split())
+    assert langid.Compressor(content).predict(speak("three", r, 40))[0] == "three"
+
+
+def test_marks_belong_to_words():
+    assert langid.plain("हिन्दी, 12 में!").decode() == "हिन्दी में " and langid.plain("It's 2 O'Clock") == b"it s o clock"
+
+
+def test_query_against_zstandard(spark, corpus, tmp_path):
+    """Every row of the query, against sizes taken one text and language at a time."""
+    import regex
+    import zstandard
+
+    r = random.Random(11)
+    rows = [(k, speak(lang, r, r.choice([3, 40, 3000])), lang, "s", 0) for k in range(120) for lang in [r.choice(list(SYLLABLES))]] + [(1000 + i, t, None, None, 0) for i, t in corpus[0] if i % 5 == 0]
+    rows += [(None, "kalomi teru", "one", "s", 0), rows[3]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    df = langid.op10_language_id(spark, str(tmp_path))
+    assert df.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+    got = {x["doc_id"]: x for x in df.collect()}
+    assert df.count() == len(rows)
+    content = langid.fit(spark.read.parquet(f"{tmp_path}/documents.parquet").filter(~langid.held_out()))
+    for i, t, *_ in rows:
+        x = got[i]
+        assert x["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)
+        if t is None or not regex.search(r"\p{L}", t):
+            assert (x["lang_pred"], x["score"], x["rejected"]) == ("und", 0.0, True)
+            continue
+        data = regex.sub(r"[^\p{L}\p{M}]+", " ", t.lower()).encode()
+        sizes = []
+        for k, own in content.items():
+            z = zstandard.ZstdCompressor(level=11, dict_data=zstandard.ZstdCompressionDict(own.rjust(64), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append((sum(len(z.compress(data[j : j + 4096])) for j in range(0, max(1, len(data)), 4096)), k))
+        best, second = sorted(s for s, _ in sizes)[:2]
+        assert x["lang_pred"] == next(k for s, k in sizes if s == best)
+        assert x["score"] == pytest.approx(min(1.0, (second - best) / best / 0.25)) and x["rejected"] == ((second - best) / best < 0.002)
+
+
 def test_without_training_rows(frame):
     assert langid.fit(frame([(1, "text", None, "s", 0)])) == {}
     assert langid.identify(frame([(1, "text")]).select("doc_id", "text"), {}).first()["lang_pred"] == "und"

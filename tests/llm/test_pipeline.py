@@ -64,6 +64,19 @@ def test_stages(spark, folder):
     assert sorted(whole.drop("sequence_id", "offset").collect()) == sorted(docs.drop("sequence_id", "offset").collect())
 
 
+def test_columns_of_any_name_are_kept(spark, folder):
+    """Columns with the names of statistics pass through every stage with their own values and types."""
+    path, _ = folder
+    own = {"score": "'s' || doc_id", "rejected": "doc_id", "lang_pred": "1.5", "rule": "'r'", "kept": "'k' || doc_id", "n_words": "'n'", "size": "'z'", "copies": "doc_id", "component_id": "'c'", "__row": "7", "n": "doc_id"}
+    docs = common.written(common.table(spark, path, "documents").selectExpr("*", *(f"{v} as {k}" for k, v in own.items())), "test")
+    schema = docs.schema
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, path), "test")
+        assert docs.columns == schema.names and [f.dataType for f in docs.schema] == [f.dataType for f in schema]
+        assert docs.count() > 100 and docs.filter("score <> 's' || doc_id or rejected <> doc_id or rule <> 'r' or kept <> 'k' || doc_id or size <> 'z' or copies <> doc_id or n <> doc_id").isEmpty()
+    assert corpus_pipeline.pack(spark, docs, path).count() >= docs.count()
+
+
 def test_repeated_and_null_ids(spark, frame):
     text = "one two three four five six seven eight"
     other = "a b c d e f g h i j"
@@ -82,6 +95,16 @@ def test_empty(spark, frame, tmp_path):
         docs = docs if "text" not in out.columns else out
 
 
+def test_nothing_is_registered_without_a_library(monkeypatch):
+    import sys
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("propgraph.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    names = __spark_entry__.queries()
+    assert names and "pipeline" not in names and not any(n.startswith("op1") for n in names)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert set(suite.queries()) | {"pipeline"} <= set(names) and len(suite.queries()) == 10
