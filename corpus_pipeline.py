@@ -1,7 +1,8 @@
 """The corpus pipeline: language, quality rules, near duplicates, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
-stage's documents. All but the last give the columns of documents, whole texts included.
+stage's documents. All but the last give the columns of documents, whole texts included, whatever further columns
+documents has: those with the name of a statistic that a stage adds are kept as they are.
 """
 
 from __future__ import annotations
@@ -11,30 +12,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propgraph.llm import jaccard, langid, mixing, packing, quality
-from propgraph.llm.common import BROADCAST_ROWS, held, table, written
+from propgraph.llm.common import BROADCAST_ROWS, held, release, table, written
 
 #: The last stages give samples of copies and token checksums, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """``docs`` with columns by number, so that none has the name of one that an operator adds; theirs; that of the text."""
+    names = [f"in{k}_" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("text")]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; dictionaries are made of the documents' own labelled texts."""
-    names = docs.columns
-    return langid.identify(docs, langid.fit(docs)).filter(~F.col("rejected")).select(*names)
+    """Documents whose language can be told; dictionaries are made of the documents' own labelled texts.
+
+    Null texts, texts without a letter and those with a narrow margin go; without any labelled text all go. Repeated
+    rows stay or go together; an empty table stays empty.
+    """
+    release(spark)  # what the stage before held: its result is written
+    inner, own, text = _apart(docs)
+    found = langid.identify(inner, langid.fit(docs), text)
+    return found.filter(~F.col("rejected")).select(*own).toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base conditions nor the learned rules reject."""
-    names = docs.columns
+    """Documents that neither the base conditions nor the learned rules reject.
+
+    Null and empty texts go (fewer than ten words). Without labels of both kinds only the base conditions reject.
+    Repeated rows stay or go together; an empty table stays empty.
+    """
+    release(spark)  # what the stage before held: its result is written
+    inner, own, text = _apart(docs)
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).filter("kept").select(*names)
+    return quality.judge(inner, rules, text).filter("kept").select(*own).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id.
 
-    Rows are told apart by their ids; if ids are null or repeat, the rows are written with a number of their own first.
+    Rows are told apart by their ids; if ids are null or repeat, the rows are written with a number of their own first,
+    and of a group the first row stays. Texts without words are in no group: all of them stay.
     """
+    release(spark)
     names, key = docs.columns, "doc_id"
     ids = docs.agg(F.count(F.lit(1)), F.count("doc_id")).first()
     if ids[0] != ids[1] or not docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
@@ -47,12 +67,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
+    """Documents as often as the mixture of sources takes them.
+
+    Null sources are one source, the last; sources without words give nothing; an empty table stays empty.
+    """
+    release(spark)
     return mixing.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces, packed into sequences."""
+    """The documents' token pieces, packed into sequences; a null or empty text is a piece of the end token alone."""
+    release(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
