@@ -16,9 +16,11 @@ context-relative id. Discounted probabilities and gammas are quantised to 16 bit
 sorted and answered by successor search, many at a time.
 
 Files lie in the shared folder (``spark.checkpoint.dir``), which must be a file system that executors mount: they are
-memory-mapped there. Building is three passes of counting; in each, tasks count their own text first, and send
-packed arrays to the shard; a hot word or n-gram is one entry of each task, and a context with too much mass for a
-shard is cut into several. The driver gets a few numbers of each shard.
+memory-mapped there. Building is three passes of counting. In each, a task merges the counts of its text, up to
+``MERGE`` entries at a time, and sends packed arrays to the shards. Beyond ``FAN`` shards they go by way of ``FAN``
+ranges of shards, where counts are merged again before they are dealt, so that the rows sent grow with the data and
+not with its square. A hot word or n-gram is one entry of each task, and a context with too much mass for a shard is
+cut into several. The driver gets a few numbers of each shard; executors read these from a file beside the levels.
 
 Defined results: a null text is empty (it has the end token alone); words are compared by 64-bit hashes; ids that are
 null are trained on; repeated rows count as often as they occur; with no training rows each probability is that of
@@ -43,6 +45,8 @@ ADD, DISCOUNT, KEEP = 0.1, 0.75, 2
 WORD_COUNT = KEEP
 #: Tokens: of a chunk of text that is counted at a time, and of a shard of the trie. Points of mass that each shard tells the driver.
 CHUNK_BYTES, SHARD_TOKENS, POINTS = 8 << 20, 4_000_000, 16
+#: Entries that a task merges before it sends them; shards that it sends to at once.
+MERGE, FAN = 2_000_000, 512
 _RANGE, _STEPS = 12.0, 65535
 #: Hashes of no word: words have no white space, and these are of texts with some.
 END, START = np.uint64(0x5F2E6B1D9C3A7A01), np.uint64(0x5F2E6B1D9C3A7A03)
@@ -87,31 +91,69 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _spread(keys: np.ndarray, counts: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Sorted keys and their counts, a row for each shard (bounds are the shards' first keys, but the first's)."""
-    cut = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
-    for k in np.flatnonzero(np.diff(cut)):
-        part = slice(cut[k], cut[k + 1])
-        yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([_planes(keys[part])], pa.binary()), pa.array([counts[part].astype(np.uint32).tobytes()], pa.binary())], ["shard", "keys", "counts"])
+def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    order = np.argsort(keys, kind="stable")  # runs that are sorted already are merged
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct keys and their counts, of as many parts as have MERGE entries together."""
+    own, size = [], 0
+    for keys, counts in parts:
+        own.append((keys, counts.astype(np.int64)))
+        size += len(keys)
+        if size >= MERGE:
+            own = [_sum(*(np.concatenate(c) for c in zip(*own, strict=True)))]
+            size = len(own[0][0])
+            if size >= MERGE // 2:
+                yield own[0]
+                own, size = [], 0
+    if own:
+        yield _sum(*(np.concatenate(c) for c in zip(*own, strict=True)))
+
+
+def _spread(parts: Iterator[tuple[np.ndarray, np.ndarray]], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Merged keys and counts, a row for each shard (bounds are the shards' first keys, but the first's)."""
+    for keys, counts in _merged(parts):
+        cut = np.r_[0, np.searchsorted(keys, bounds), len(keys)]
+        for k in np.flatnonzero(np.diff(cut)):
+            part = slice(cut[k], cut[k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([_planes(keys[part])], pa.binary()), pa.array([counts[part].astype(np.uint32).tobytes()], pa.binary())], ["shard", "keys", "counts"])
 
 
 PACKED = "shard long, keys binary, counts binary"
 
 
+def _dealt(texts: DataFrame, count, shards: int, bounds) -> DataFrame:
+    """The packed counts that ``count`` gives for texts, by shard; by way of ranges of shards if there are many.
+    ``bounds`` gives the shards' first keys, in tasks."""
+    step = -(-shards // FAN)
+
+    def first(batches):
+        yield from _spread(count(batches), bounds()[step - 1 :: step])
+
+    def second(batches):
+        parts = ((_keys(k), np.frombuffer(c, np.uint32)) for b in batches for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True))
+        yield from _spread(parts, bounds())
+
+    out = texts.mapInArrow(first, PACKED)
+    return out if step == 1 else out.repartition("shard").mapInArrow(second, PACKED)
+
+
 def _merge(x: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     """Shard, sorted keys and summed counts of a shard's rows."""
     keys = np.concatenate([_keys(v) for v in x.column("keys").to_pylist()])
     counts = np.concatenate([np.frombuffer(v, np.uint32) for v in x.column("counts").to_pylist()]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return int(x.column("shard")[0].as_py()), keys[first], np.add.reduceat(counts, first)
+    return int(x.column("shard")[0].as_py()), *_sum(keys, counts)
 
 
-def _points(ids: np.ndarray, mass: np.ndarray) -> list[tuple[int, int, int]]:
-    """(id, mass before it, its mass) where the running mass passes equal steps."""
+def _points(ids: np.ndarray, mass: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(id, mass before it, its mass) where the running mass passes equal steps: fewer of them where shards are many."""
     before = np.cumsum(mass) - mass
-    steps = np.linspace(0, int(mass.sum()), POINTS, endpoint=False)
+    steps = np.linspace(0, int(mass.sum()), max(2, min(POINTS, 65_536 // shards)), endpoint=False)
     at = np.unique(np.maximum(np.searchsorted(before, steps, "right") - 1, 0)) if len(ids) else []
     return [(int(ids[i]), int(before[i]), int(mass[i])) for i in at]
 
@@ -140,11 +182,18 @@ _VALUES = 10.0 ** (-np.arange(_STEPS + 1) * (_RANGE / _STEPS))
 _opened: dict[str, Trie] = {}
 
 
+def _slim(info: dict) -> dict:
+    """``info`` for tasks: the numbers of the shards, whose number grows with the data, go to a file beside the levels."""
+    arrays = {k: v for k, v in info.items() if isinstance(v, np.ndarray)}
+    ef.save(f"{info['path']}/info-{info['levels']}", arrays)
+    return {k: v for k, v in info.items() if k not in arrays}
+
+
 class Trie:
-    """Memory-mapped levels. ``info`` holds a few numbers of each shard."""
+    """Memory-mapped levels. ``info`` holds a few numbers of each shard, also memory-mapped."""
 
     def __init__(self, info: dict):
-        self.info, self.files = info, {}
+        self.info, self.files = ef.load(f"{info['path']}/info-{info['levels']}") | info, {}
 
     @staticmethod
     def of(info: dict) -> Trie:
@@ -229,6 +278,7 @@ class Trie:
             base, name = i["base1"], "gamma1"
         else:
             known, base, name = np.flatnonzero(ids >= 0), i["base2"], "gamma2"
+        known = known[i[f"has_{name}"][np.searchsorted(base, ids[known], "right") - 1]]  # of other shards no context has kept children
         out[known] = _VALUES[self.by_id(name, base, "gamma", ids[known])]
         return out
 
@@ -290,7 +340,7 @@ def _write_level(trie: Trie, level: int, k: int, keys: np.ndarray, counts: np.nd
     ef.save(f"{trie.info['path']}/{level}-{k}", arrays)
     stats = {"n": len(keys), "mass": int(counts.sum()), "first": int(contexts[0]) if len(contexts) else -1, "last": int(contexts[-1]) if len(contexts) else -1, "last_start": int(start[-1]) if len(start) else 0, "contexts": len(contexts), "most": int(size.max()) if len(size) else 0}
     share = np.add.reduceat(p, start) if len(start) else np.zeros(0)
-    return stats | {"points": _points(np.arange(len(keys)), counts)}, contexts, share
+    return stats | {"points": _points(np.arange(len(keys)), counts, len(trie.info[f"bounds{level}"]) + 1)}, contexts, share
 
 
 ROW = "kind string, shard long, n long, mass long, first long, last long, last_start long, contexts long, most long, points array<array<long>>, ids binary, shares binary"
@@ -330,37 +380,40 @@ def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
     path = _local(uri)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(uri)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
-    info = {"path": path, "docs": n_docs, "levels": 0, "bounds1": np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)}
+    info = {"path": path, "docs": n_docs, "levels": 0}
 
-    # level 1: words
+    # level 1: words, in equal ranges of their hashes
     def count_words(batches):
-        for _, h, _ in chunks(batches):
-            yield from _spread(*np.unique(h, return_counts=True), info["bounds1"])
+        return (np.unique(h, return_counts=True) for _, h, _ in chunks(batches))
+
+    def word_bounds() -> np.ndarray:
+        return np.array([(k << 64) // shards for k in range(1, shards)], np.uint64)
 
     def write_words(x: pa.Table) -> pa.Table:
         k, keys, counts = _merge(x)
         ef.save(f"{path}/1-{k}", ef.named("word", ef.build(keys)) | {"count": counts})
         # kept n-grams begin with words that repeat, and END begins none
         mass = np.where((counts >= WORD_COUNT) & (keys != END), counts, 0)
-        return _out([{"kind": "shard", "shard": k, "n": len(keys), "mass": int(mass.sum()), "most": int(counts.sum()), "points": _points(np.arange(len(keys)), mass)}])
+        return _out([{"kind": "shard", "shard": k, "n": len(keys), "mass": int(mass.sum()), "most": int(counts.sum()), "points": _points(np.arange(len(keys)), mass, shards)}])
 
-    words = held(texts.mapInArrow(count_words, PACKED).groupBy("shard").applyInArrow(write_words, ROW))
+    words = held(_dealt(texts, count_words, shards, word_bounds).groupBy("shard").applyInArrow(write_words, ROW))
     stats = _collect(words, shards)
     n1 = np.array([s["n"] for s in stats], np.int64)
     base1 = np.cumsum(n1) - n1
     V, N = int(n1.sum()), sum(s["most"] for s in stats)
     points, mass = _global_points(stats, base1)
     points.append((V + 1, mass, n_docs))  # the start
-    info |= {"levels": 1, "n1": n1, "base1": base1, "V": V, "N": N, "range2": V + 2, "bounds2": _bounds(points, mass + n_docs, V + 2, shards)}
+    info |= {"levels": 1, "bounds1": word_bounds(), "n1": n1, "base1": base1, "V": V, "N": N, "range2": V + 2, "bounds2": _bounds(points, mass + n_docs, V + 2, shards)}
 
     def build(level: int, count) -> list[dict]:
-        at, size = dict(info), len(info[f"bounds{level}"]) + 1
-        base, lower = at[f"base{level - 1}"], f"gamma{level - 1}"
+        at, size, lower = _slim(info), len(info[f"bounds{level}"]) + 1, f"gamma{level - 1}"
 
         def write(x: pa.Table) -> pa.Table:
             k, keys, counts = _merge(x)
-            own, contexts, share = _write_level(Trie.of(at), level, k, keys, counts)
+            t = Trie.of(at)
+            own, contexts, share = _write_level(t, level, k, keys, counts)
             rows = [{"kind": "shard", "shard": k} | {n: own[n] for n in _NUMBERS} | {"points": [list(p) for p in own["points"]]}]
+            base = t.info[f"base{level - 1}"]
             to = np.searchsorted(base, contexts, "right") - 1
             to[contexts >= at["V"] if level == 2 else np.zeros(len(to), bool)] = -1  # the start's
             for j in np.unique(to):
@@ -373,16 +426,21 @@ def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
             shares = np.concatenate([np.frombuffer(v, np.float64) for v in x.column("shares").to_pylist()])
             if j < 0:
                 return _out([{"kind": "start", "shard": j, "shares": np.float64(shares.sum()).tobytes()}])
-            taken = np.bincount(ids - base[j], shares, minlength=int(at[f"n{level - 1}"][j]))
+            i = Trie.of(at).info
+            taken = np.bincount(ids - i[f"base{level - 1}"][j], shares, minlength=int(i[f"n{level - 1}"][j]))
             ef.save(f"{path}/{lower}-{j}", {"gamma": _code(np.maximum(1 - taken, 0))})
             return _out([{"kind": "gamma", "shard": j}])
 
-        found = held(texts.mapInArrow(count, PACKED).groupBy("shard").applyInArrow(write, ROW))
+        def own_bounds() -> np.ndarray:
+            return Trie.of(at).info[f"bounds{level}"]
+
+        def counted(batches):
+            return count(Trie.of(at), batches)
+
+        found = held(_dealt(texts, counted, size, own_bounds).groupBy("shard").applyInArrow(write, ROW))
         gammas = found.filter("kind = 'share'").groupBy("shard").applyInArrow(write_gammas, ROW).select("kind", "shard", "shares").collect()
-        have = {r["shard"] for r in gammas}
-        for j, n in enumerate(at[f"n{level - 1}"]):
-            if j not in have and n:
-                ef.save(f"{path}/{lower}-{j}", {"gamma": np.zeros(int(n), np.uint16)})
+        info[f"has_{lower}"] = np.zeros(len(info[f"n{level - 1}"]), bool)
+        info[f"has_{lower}"][[r["shard"] for r in gammas if r["kind"] == "gamma"]] = True
         if level == 2:
             info["gamma_start"] = 1 - sum(np.frombuffer(r["shares"], np.float64)[0] for r in gammas if r["kind"] == "start")
         stats = _collect(found, size)
@@ -401,13 +459,10 @@ def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
         return stats
 
     # level 2: pairs
-    at2 = dict(info)
-
-    def count_pairs(batches):
-        t = Trie.of(at2)
+    def count_pairs(t: Trie, batches):
         for _, h, first in chunks(batches):
             w, before, _, ok = _sequence(t, h, first)
-            yield from _spread(*np.unique(before[ok].astype(np.uint64) * np.uint64(at2["range2"]) + w[ok].astype(np.uint64), return_counts=True), at2["bounds2"])
+            yield np.unique(before[ok].astype(np.uint64) * np.uint64(t.info["range2"]) + w[ok].astype(np.uint64), return_counts=True)
 
     stats = build(2, count_pairs)
     points, mass = _global_points(stats, info["base2"])
@@ -415,15 +470,12 @@ def train(docs: DataFrame, shard_tokens: int | None = None) -> dict:
     info |= {"range3": spread, "bounds3": _bounds(points, mass, spread, shards)}
 
     # level 3: triples, as node of the first two and place of the last among the second's children
-    at3 = dict(info)
-
-    def count_triples(batches):
-        t = Trie.of(at3)
+    def count_triples(t: Trie, batches):
         for _, h, first in chunks(batches):
             w, before, _, ok = _sequence(t, h, first)
             node, place, _ = _bigrams(t, w, before, ok)
             ctx, has = _trigrams(t, node, place, first)
-            yield from _spread(*np.unique(ctx[has].astype(np.uint64) * np.uint64(at3["range3"]) + place[has].astype(np.uint64), return_counts=True), at3["bounds3"])
+            yield np.unique(ctx[has].astype(np.uint64) * np.uint64(t.info["range3"]) + place[has].astype(np.uint64), return_counts=True)
 
     build(3, count_triples)
     return info
@@ -448,8 +500,10 @@ def score_tokens(t: Trie, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray,
 def score(docs: DataFrame, info: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each row of ``docs`` (doc_id, text)."""
 
+    slim = _slim(info)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Trie.of(info)
+        t = Trie.of(slim)
         for rows, h, first in chunks(batches):
             c, base, own = score_tokens(t, h, first)
             n = np.diff(np.r_[first, len(h)])

@@ -42,13 +42,13 @@ def test_word_hashes():
 
 
 class Naive:
-    """The same model with dictionaries."""
+    """The same model with dictionaries: every n-gram that occurs KEEP times, whatever its words."""
 
     def __init__(self, texts):
         docs = [(t or "").encode().lower().split() + ["</s>"] for t in texts]
         self.c = Counter(w for d in docs for w in d)
         self.N, self.V, self.docs = sum(self.c.values()), len(self.c), len(docs)
-        b = Counter(p for d in docs for p in zip(["<s>", *d], d, strict=False) if all(self.common(w) for w in p))
+        b = Counter(p for d in docs for p in zip(["<s>", *d], d, strict=False))
         self.b = {k: n for k, n in b.items() if n >= lm.KEEP}
         t = Counter(p for d in docs for p in zip(["<s>", *d], d, d[1:], strict=False) if p[:2] in self.b and p[1:] in self.b)
         self.t = {k: n for k, n in t.items() if n >= lm.KEEP}
@@ -58,9 +58,6 @@ class Naive:
         for k, n in self.t.items():
             self.g2[k[:2]] += (n - lm.DISCOUNT) / self.b[k[:2]]
 
-    def common(self, w):
-        return w in ("<s>", "</s>") or self.c[w] >= lm.WORD_COUNT
-
     def count(self, w):
         return self.docs if w == "<s>" else self.c[w]
 
@@ -91,9 +88,11 @@ def compare(info, naive, rows, df):
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(own, abs=3e-4 * n + 1e-6)
 
 
-@pytest.mark.parametrize("shard_tokens", [None, 1500, 200])
-def test_against_dictionaries(corpus, shard_tokens):
-    """Also with so many shards that contexts lie in several of them."""
+@pytest.mark.parametrize(("shard_tokens", "fan"), [(None, 512), (1500, 512), (200, 512), (1500, 4)])
+def test_against_dictionaries(corpus, shard_tokens, fan, monkeypatch):
+    """Also with so many shards that contexts lie in several of them, and that counts are dealt twice."""
+    monkeypatch.setattr(lm, "FAN", fan)
+    monkeypatch.setattr(lm, "MERGE", 2_000_000 if fan > 4 else 500)
     rows, df = corpus
     train = [(i, t) for i, t in rows if i % 4]
     info = lm.train(df.filter("doc_id % 4 <> 0"), shard_tokens)
@@ -111,13 +110,9 @@ def test_repeated_passages_of_rare_words(corpus, frame):
     once = " ".join(f"single{k}" for k in range(40))
     rows = [*rows, *((5000 + k, passage) for k in range(lm.KEEP)), (6000, once)]
 
-    class Whole(Naive):
-        def common(self, w):
-            return True
-
     df = frame(rows)
     info = lm.train(df)
-    naive = Whole([t for _, t in rows])
+    naive = Naive([t for _, t in rows])
     assert info["n2"].sum() == len(naive.b) and info["n3"].sum() == len(naive.t)
     compare(info, naive, rows, df)
     got = {r["doc_id"]: r for r in lm.score(df.filter("doc_id >= 5000"), info).collect()}
@@ -146,3 +141,18 @@ def test_folder_must_be_mounted():
     assert lm._local("file:///a/b") == "/a/b"
     with pytest.raises(ValueError):
         lm._local("hdfs://host/a")
+
+
+def test_merged_counts(monkeypatch):
+    monkeypatch.setattr(lm, "MERGE", 60)
+    r = np.random.default_rng(3)
+    parts = [np.unique(r.integers(0, 90, 40, dtype=np.uint64), return_counts=True) for _ in range(30)]
+    total, rows = Counter(), 0
+    for keys, counts in lm._merged(iter(parts)):
+        assert (np.diff(keys.astype(np.int64)) > 0).all()
+        total.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+        rows += len(keys)
+    expected = Counter()
+    for keys, counts in parts:
+        expected.update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+    assert total == expected and rows < sum(len(k) for k, _ in parts) and list(lm._merged(iter([]))) == []
