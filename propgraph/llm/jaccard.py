@@ -12,17 +12,21 @@ low(n) = min(ceil(t ceil(t n)), SLACK) of what is kept of both. Tokens of more t
 documents share) are left out of the matrix; a set with f such tokens then still shares low(n) - f tokens, and if
 that is no bound (f >= low(n)), the set is saturated: it is grouped by its common tokens, all its tokens are stored,
 and any two saturated sets meet there. So no link is lost, and a group pair is opened only if it shares the
-required number. What counts as common changes cost, never results.
+required number. What counts as common changes cost, never results. Common tokens are first found where a task meets
+them twice; the matrix's tasks then see the exact number of groups of each token, and if one that is not known to be
+common has more than ``RUN`` it emits no pairs: it joins the common ones, and the matrix is made anew.
 
 Scale. Equal sets collapse to one before anything is compared. Tokens travel as packed arrays, by hash of the token,
-to tasks of bounded size. Groups that a chain of qualifying pairs joins are opened in one task, up to BLOCK shingles;
+to tasks of bounded size, beyond ``FAN`` of them by way of ``FAN`` ranges, so that the rows sent grow with the data and
+not with its square. Groups that a chain of qualifying pairs joins are opened in one task, up to BLOCK shingles;
 larger ones in blocks: each block is first joined to the whole's first member, which most near copies reach, and only
 the sets that do not are compared with the other blocks. No pair list of a group is ever emitted. The driver gets the
-common tokens, at most COMMON_LIMIT (fewer found means more work, not other results).
+common tokens, at most COMMON_LIMIT (if there are more, the others' pairs are emitted: more work, not other results).
 
 Defined results: a text without words (or null) has an empty set, links with nothing and is its own component; a
-text with fewer than five words has one shingle, all its words; repeated rows link; rows with a null id follow the
-sets equal to theirs, and have a null component if none has an id.
+text with fewer than five words has one shingle, all its words; repeated rows link; rows with a null id link as others
+do, also others with one another, and have a null component if none that they reach has an id; one id may have several
+texts, each of which is a row of its own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, held, lookup, small_batches, written
@@ -41,6 +45,8 @@ from .words import word_hashes
 
 WORDS, PERCENT = 5, 80
 SLACK, COMMON, COMMON_LIMIT = 96, 64, 500_000
+#: Groups of a token beyond which no pairs are made of them; buckets that a chunk is dealt to at once.
+RUN, FAN = 512, 512
 #: Shingles: in a task that opens groups, and tokens in a chunk or a bucket of the matrix.
 BLOCK, CHUNK = 2_000_000, 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -100,10 +106,15 @@ def sets(docs: DataFrame, words: int, percent: int, slack: int) -> DataFrame:
                 d1.append(x)
                 d2.append(y)
                 kept.append(s[: n - _least(n, percent) + slack].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n", "d1", "d2", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "key", "n", "d1", "d2", "kept"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, kept binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), _key()).mapInArrow(run, "doc_id long, key long, n long, d1 long, d2 long, kept binary")
+
+
+def _key() -> Column:
+    """What a row's text is found by again: its id, or the text's hash if that is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")
 
 
 def _rows(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -165,15 +176,15 @@ def place(n: int, kept: np.ndarray, common: np.ndarray, percent: int, slack: int
 
 
 def members(kept: DataFrame, common, percent: int, slack: int) -> DataFrame:
-    """(doc_id, n, d1, d2, grp, sat, req) of each row; grp is null for empty sets."""
+    """(doc_id, key, n, d1, d2, grp, sat, req) of each row; grp is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [place(n, np.frombuffer(k, np.uint64), common.value, percent, slack)[:3] if n else (None, False, 0) for n, k in zip(b.column("n").to_pylist(), b.column("kept").to_pylist(), strict=True)]
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n", "d1", "d2")), *cols], ["doc_id", "n", "d1", "d2", "grp", "sat", "req"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "key", "n", "d1", "d2")), *cols], ["doc_id", "key", "n", "d1", "d2", "grp", "sat", "req"])
 
-    return kept.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, grp long, sat boolean, req int")
+    return kept.mapInArrow(run, "doc_id long, key long, n long, d1 long, d2 long, grp long, sat boolean, req int")
 
 
 def _pairs_of_runs(groups: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -191,9 +202,21 @@ def _pairs_of_runs(groups: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
                     yield np.repeat(block[:, i], r - 1 - i), block[:, i + 1 :].ravel()
 
 
-def group_overlaps(kept: DataFrame, common, percent: int, slack: int, tokens: int) -> DataFrame:
-    """The matrix, by buckets of tokens, times itself: (g, h, shared tokens), g < h."""
+def group_overlaps(kept: DataFrame, common, percent: int, slack: int, tokens: int, run: int) -> DataFrame:
+    """The matrix, by buckets of tokens, times itself: (g, h, shared tokens), g < h; and (token, null, groups) for each
+    token that is not common but has more than ``run`` groups, of which no pairs are made."""
     buckets = max(1, -(-tokens // CHUNK))
+    step = -(-buckets // FAN)
+
+    def deal(pieces, size: int) -> Iterator[pa.RecordBatch]:
+        for t, g in pieces:
+            to = (t % np.uint64(buckets)).astype(np.int64) // size
+            order = np.argsort(to, kind="stable")
+            t, g = t[order], g[order]
+            cut = np.searchsorted(to[order], np.arange(-(-buckets // size) + 1))
+            for k in np.flatnonzero(np.diff(cut)):
+                part = slice(cut[k], cut[k + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([t[part].tobytes()], pa.binary()), pa.array([g[part].tobytes()], pa.binary())], ["bucket", "tokens", "groups"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stored():
@@ -202,14 +225,19 @@ def group_overlaps(kept: DataFrame, common, percent: int, slack: int, tokens: in
                     g, _, _, t = place(n, k, common.value, percent, slack)
                     yield t, g
 
-        for t, g in _chunks(stored()):
-            to = (t % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            t, g = t[order], g[order]
-            cut = np.searchsorted(to[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(cut)):
-                part = slice(cut[k], cut[k + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([t[part].tobytes()], pa.binary()), pa.array([g[part].tobytes()], pa.binary())], ["bucket", "tokens", "groups"])
+        yield from deal(_chunks(stored()), step)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, size = [], 0
+        for b in batches:
+            for t, g in zip(b.column("tokens").to_pylist(), b.column("groups").to_pylist(), strict=True):
+                own.append((np.frombuffer(t, np.uint64), np.frombuffer(g, np.int64)))
+                size += len(own[-1][0])
+                if size >= CHUNK:
+                    yield from deal([_distinct(*(np.concatenate(c) for c in zip(*own, strict=True)))], 1)
+                    own, size = [], 0
+        if own:
+            yield from deal([_distinct(*(np.concatenate(c) for c in zip(*own, strict=True)))], 1)
 
     def meet(x: pa.Table) -> pa.Table:
         t = np.concatenate([np.frombuffer(v, np.uint64) for v in x.column("tokens").to_pylist()])
@@ -217,6 +245,13 @@ def group_overlaps(kept: DataFrame, common, percent: int, slack: int, tokens: in
         t, g = _distinct(t, g)
         starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
         lengths = np.diff(np.r_[starts, len(t)])
+        long = lengths > run
+        if long.any():
+            first = t[starts[long]]
+            at = np.minimum(np.searchsorted(common.value, first), max(0, len(common.value) - 1))
+            long[long] = common.value[at] != first if len(common.value) else True
+        found = t[starts[long]].view(np.int64), lengths[long]
+        starts, lengths = starts[~long], lengths[~long]
         held, size = [], 0
 
         def merged(parts):
@@ -233,9 +268,12 @@ def group_overlaps(kept: DataFrame, common, percent: int, slack: int, tokens: in
                 held = [merged(held)]
                 size = len(held[0][0])
         a, b, c = merged(held) if held else (np.zeros(0, np.int64),) * 3
-        return pa.table({"g": pa.array(a, pa.int64()), "h": pa.array(b, pa.int64()), "shared": pa.array(c, pa.int64())})
+        a, c = np.r_[a, found[0]], np.r_[c, found[1]]
+        return pa.table({"g": pa.array(a, pa.int64()), "h": pa.array([*b.tolist(), *[None] * len(found[0])], pa.int64()), "shared": pa.array(c, pa.int64())})
 
     packed = kept.select("n", "kept").mapInArrow(spread, "bucket long, tokens binary, groups binary")
+    if step > 1:
+        packed = packed.repartition("bucket").mapInArrow(again, packed.schema)
     return packed.groupBy("bucket").applyInArrow(meet, "g long, h long, shared long").groupBy("g", "h").agg(F.sum("shared").alias("shared"))
 
 
@@ -277,15 +315,15 @@ def join_sets(own: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _opened(x: pa.Table, words: int) -> list[tuple]:
-    """(key, rep, d1, d2, role, set) of the rows of a task whose text has the set asked for (ids may repeat), once each."""
+    """(sg, (no id, rep), d1, d2, role, set) of the rows of a task whose text has the set asked for (ids may repeat), once each."""
     out, seen = [], set()
-    cols = [x.column(c).to_pylist() for c in ("sg", "rep", "d1", "d2", "role", "text")]
-    for sg, rep, d1, d2, role, text in zip(*cols, strict=True):
+    cols = [x.column(c).to_pylist() for c in ("sg", "no_id", "rep", "d1", "d2", "role", "text")]
+    for sg, no_id, rep, d1, d2, role, text in zip(*cols, strict=True):
         if (sg, d1, d2, role) not in seen:
             s = shingles(text, words)
             if digest(s) == (d1, d2):
                 seen.add((sg, d1, d2, role))
-                out.append((sg, rep, d1, d2, role, s))
+                out.append((sg, (no_id, rep), d1, d2, role, s))
     return sorted(out, key=lambda r: (r[0], r[1], r[2], r[3], r[4]))
 
 
@@ -294,12 +332,12 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Table:
 
 
 def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, block: int) -> DataFrame:
-    """(d1, d2, component) of the sets in ``wanted`` (rep, d1, d2, n, sg, shingles of the whole sg)."""
+    """(d1, d2, component) of the sets in ``wanted`` (no_id, rep, d1, d2, n, sg, shingles of the whole sg)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    texts = docs.select(F.col("doc_id").isNull().alias("no_id"), _key().alias("rep"), "text")
     total, count = wanted.agg(F.sum("n"), F.count(F.lit(1))).first()
     small = count <= BROADCAST_ROWS
-    rows = texts.join(F.broadcast(wanted) if small else wanted, "rep").withColumn("role", F.lit(0))
+    rows = texts.join(F.broadcast(wanted) if small else wanted, ["no_id", "rep"]).withColumn("role", F.lit(0))
     buckets = max(1, -(-(total or 0) // max(1, block // 2)))
 
     def whole(x: pa.Table) -> pa.Table:
@@ -309,7 +347,8 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
         out = []
         for own in by.values():
             for r, k in zip(own, join_sets([r[5] for r in own], percent), strict=True):
-                out.append((r[2], r[3], own[k][1]))  # rows are sorted by rep: the least index has the least rep
+                no_id, rep = own[k][1]  # rows are sorted by it: the least index has the least id, if any has one
+                out.append((r[2], r[3], None if no_id else rep))
         return _table(out, ["d1", "d2", "component"])
 
     fits = F.col("of") <= block
@@ -338,8 +377,8 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
 
     big = rows.filter(~fits).withColumn("blocks", F.ceil(F.col("of") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
     big = held(big)
-    heads = big.groupBy("sg").agg(F.min(F.struct("rep", "d1", "d2")).alias("h")).select("sg", "h.*")
-    lead = big.join(heads, ["sg", "rep", "d1", "d2"], "left_semi").withColumn("role", F.lit(1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heads = big.groupBy("sg").agg(F.min(F.struct("no_id", "rep", "d1", "d2")).alias("h")).select("sg", "h.*")
+    lead = big.join(heads, ["sg", "no_id", "rep", "d1", "d2"], "left_semi").withColumn("role", F.lit(1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     near = big.unionByName(lead).groupBy("sg", "block").applyInArrow(first_step, "sg long, d1 long, d2 long, root long, role long, reached long")
     near = held(near)
     rest = near.filter("reached = 0 and role = 0").select("sg", "d1", "d2")
@@ -350,36 +389,47 @@ def open_groups(wanted: DataFrame, docs: DataFrame, words: int, percent: int, bl
     there = big.join(much, "sg").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     far = asked.unionByName(there).groupBy("sg", "block", "part").applyInArrow(second_step, "a long, b long")
     links = near.select(F.col("d1").alias("a"), F.col("root").alias("b")).unionByName(far)
-    nodes = big.select("d1", "d2", "rep").distinct()
+    nodes = big.select("d1", "d2", F.when(~F.col("no_id"), F.col("rep")).alias("rep")).distinct()
     found = nodes.join(connected_components(links).withColumnRenamed("node", "d1"), "d1", "left").withColumn("c", F.coalesce("component", "d1"))
     least = found.groupBy("c").agg(F.min("rep").alias("least"))
     return done.unionByName(found.join(least, "c").select("d1", "d2", F.col("least").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, slack: int = SLACK, common: int = COMMON) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, slack: int = SLACK, common: int = COMMON, run: int = RUN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text): its set's size and the least id its links reach."""
+    spark = docs.sparkSession
     kept = written(sets(docs, words, percent, slack), "jaccard-sets")
     tokens = kept.agg(F.sum(F.octet_length("kept"))).first()[0] or 0
-    often = docs.sparkSession.sparkContext.broadcast(common_tokens(kept, common))
+    known = common_tokens(kept, common)
+    while True:
+        often = spark.sparkContext.broadcast(known)
+        matrix = held(group_overlaps(kept, often, percent, slack, tokens // 8, run if len(known) < COMMON_LIMIT else tokens))
+        more = matrix.filter("h is null").orderBy(F.desc("shared"), "g").limit(COMMON_LIMIT - min(len(known), COMMON_LIMIT)).select("g").collect()
+        if not more:
+            break
+        matrix.unpersist()
+        known = np.union1d(known, np.array([r[0] for r in more], np.int64).view(np.uint64))
     rows = held(members(kept, often, percent, slack))
     # equal sets collapse here; a set with a third of all rows is one row of each task's partial aggregate
-    reps = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.max("sat").alias("sat"), F.min("req").alias("req"), F.count(F.lit(1)).alias("copies"))
-    reps = held(reps)
+    reps = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("key").alias("rep"))).alias("r"), *(F.min(c).alias(c) for c in ("n", "grp", "req")), F.max("sat").alias("sat"), F.count(F.lit(1)).alias("copies"))
+    reps = held(reps.select("d1", "d2", "r.no_id", "r.rep", "n", "grp", "sat", "req", "copies"))
     groups = held(reps.groupBy("grp").agg(F.max("sat").alias("sat"), F.min("req").alias("req"), F.min("n").alias("least"), F.max("n").alias("most")))
-    pairs = group_overlaps(kept, often, percent, slack, tokens // 8)
+    pairs = matrix
     for side in "gh":
         pairs = pairs.join(groups.select(F.col("grp").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("sat", "req", "least", "most"))), side)
     asked = F.when(F.col("sat_g") == F.col("sat_h"), F.greatest("req_g", "req_h")).when(F.col("sat_g"), F.col("req_h")).otherwise(F.col("req_g"))
     sizes = (100 * F.col("most_g") >= percent * F.col("least_h")) & (100 * F.col("most_h") >= percent * F.col("least_g"))
     links = pairs.filter((F.col("shared") >= asked) & sizes).select(F.col("g").alias("a"), F.col("h").alias("b"))
     chains = connected_components(links).select(F.col("node").alias("grp"), F.col("component").alias("chain"))
-    placed = held(reps.join(chains, "grp", "left").withColumn("sg", F.coalesce("chain", "grp")).select("rep", "d1", "d2", "n", "sg"))
+    matrix.unpersist()
+    placed = held(reps.join(chains, "grp", "left").withColumn("sg", F.coalesce("chain", "grp")).select("no_id", "rep", "d1", "d2", "n", "sg"))
     more = held(placed.groupBy("sg").agg(F.count("*").alias("sets"), F.sum("n").alias("of")).filter("sets > 1").drop("sets"))
-    wanted = held(lookup(placed, more, "sg").filter("of is not null and rep is not null"))
+    wanted = held(lookup(placed, more, "sg").filter("of is not null"))
     opened = open_groups(wanted, docs, words, percent, block)
     # a set of one document that links with nothing is its own component; the others are looked up, salted if they are many
-    classes = reps.join(opened, ["d1", "d2"], "left").filter("copies > 1 or component <> rep")
-    classes = held(classes.select(F.struct("d1", "d2").alias("set"), F.coalesce("component", "rep").alias("found"), F.lit(True).alias("known")))
+    own_id = F.when(~F.col("no_id"), F.col("rep"))
+    classes = reps.join(opened, ["d1", "d2"], "left").withColumn("found", F.coalesce("component", own_id)).filter((F.col("copies") > 1) | ~F.col("found").eqNullSafe(own_id))
+    classes = held(classes.select(F.struct("d1", "d2").alias("set"), "found", F.lit(True).alias("known")))
     out = lookup(rows.withColumn("set", F.struct("d1", "d2")), classes, "set")
     own = F.when((F.col("n") == 0) | F.col("known").isNull(), F.col("doc_id")).otherwise(F.col("found"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))

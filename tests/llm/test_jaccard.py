@@ -100,6 +100,32 @@ def test_repeats_nulls_and_empty(frame):
     assert jaccard.near_duplicates(frame([]).limit(0).select("doc_id", "text")).count() == 0
 
 
+@pytest.mark.parametrize(("ids", "block"), [((None, 5, 9), jaccard.BLOCK), ((None, 5, 9), 100), ((5, 9, None), jaccard.BLOCK), ((None, None, None), jaccard.BLOCK)])
+def test_links_by_way_of_null_ids(frame, ids, block):
+    """Three texts of which the first links with both others, and these not with each other."""
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base), " ".join([*base[8:], "x y"]), " ".join(["z", *base[:-9]])]
+    a, b, c = (shingle_set(t) for t in texts)
+    assert all(100 * len(a & x) >= 80 * len(a | x) for x in (b, c)) and 100 * len(b & c) < 80 * len(b | c)
+    got = jaccard.near_duplicates(frame(list(zip(ids, texts, strict=True))).select("doc_id", "text"), block=block).collect()
+    assert len(got) == 3 and {r["component_id"] for r in got} == {min((i for i in ids if i is not None), default=None)}
+
+
+def test_tokens_of_many_groups_make_no_pairs(frame):
+    """A token that no task meets twice, but that has too many groups, becomes a common one."""
+    rows = variants(6, 8, 6)
+    df = frame(rows).select("doc_id", "text")
+    check(df, rows, run=3, common=10**9)
+    check(df, rows, run=2, common=4, slack=20)
+
+
+def test_buckets_by_way_of_ranges(frame, monkeypatch):
+    rows = variants(7, 6, 6)
+    monkeypatch.setattr(jaccard, "CHUNK", 300)
+    monkeypatch.setattr(jaccard, "FAN", 4)
+    check(frame(rows), rows)
+
+
 def test_one_id_with_two_texts(frame):
     got = jaccard.near_duplicates(frame([(1, "a b c d e f"), (1, "other words are in here too"), (2, "other words are in here too")]).select("doc_id", "text")).collect()
     assert len(got) == 3
@@ -112,6 +138,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from propgraph.llm import components
+
+    monkeypatch.setattr(components, "HUB_ROWS", 10)
+    monkeypatch.setattr(components, "MOST_HUBS", 4)
+    links = [(7, 1000 + k) for k in range(80)] + [(1000 + k, 2000 + k) for k in range(20)] + [(1, 7), (50, 51)]
+    got = dict(connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {50: 50, 51: 50} | {x: 1 for p in links for x in p if x not in (50, 51)}
+
+
 def test_join_sets_is_exact():
     r = np.random.default_rng(1)
     own = [np.unique(r.integers(0, 60, r.integers(5, 60)).astype(np.uint64)) for _ in range(60)]
