@@ -1,5 +1,6 @@
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,20 +102,58 @@ def test_loads_are_as_lpt_gives_them(spark, frame):
     assert len(load) == 24 and max(load.values()) - min(load.values()) < 360
 
 
-def test_bundles_of_small_groups(frame, monkeypatch):
-    monkeypatch.setattr(sharding, "HEADS", 8)
-    df = frame([(k, f"{k} " * (3 + k % 11)) for k in range(3000)] + [(k, "z" * 400_000) for k in range(3000, 3002)])
-    load = defaultdict(int)
-    got = shards(df, shards=4)
-    for r in got:
-        load[r["shard"]] += r["size"]
-    assert len(got) == 3002 and len({r["shard"] for r in got if r["size"] > 400_000}) == 1
-    small = sorted(load.values())[:3]
-    assert small[-1] - small[0] < 0.1 * small[0]
+def heap_of(sizes, shards):
+    """Shard loads that a heap gives for groups one by one, and how many of each size go to each shard."""
+    load, out = [0] * shards, defaultdict(lambda: [0] * shards)
+    for x in sorted(sizes, reverse=True):
+        s = min(range(shards), key=lambda k: (load[k], k))
+        load[s] += x
+        out[x][s] += 1
+    return load, out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_lpt_is_what_a_heap_gives(seed):
+    r = random.Random(seed)
+    shards = r.choice([1, 2, 3, 24])
+    top = r.choice([3, 50, 3000])
+    sizes = [r.randint(1, top) for _ in range(r.choice([5, 100, 2000]))] + [r.randint(1, 10**6) for _ in range(r.choice([0, 3, 30]))]
+    histogram = sorted(Counter(sizes).items(), reverse=True)
+    load, out = heap_of(sizes, shards)
+    got = sharding.lpt(histogram, shards)
+    assert {x: row.tolist() for (x, _), row in zip(histogram, got, strict=True)} == dict(out)
+    assert sharding.lpt([(8, 10**12)], 24).sum() == 10**12 and sharding.lpt([], 24).shape == (0, 24)
 
 
-def test_lpt():
-    assert sharding.lpt([("a", 5), ("b", 4), ("c", 3), ("d", 3), ("e", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+def test_query_against_a_heap(spark, corpus, tmp_path):
+    """All columns of the query: the loads are those of groups scheduled one by one."""
+    rows, df = corpus
+    df.unionByName(df.limit(5)).write.parquet(f"{tmp_path}/documents.parquet")
+    out = sharding.op2_sharding(spark, str(tmp_path))
+    assert out.dtypes[:7] == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    got, text = out.collect(), dict(rows)
+    assert len(got) == len(rows) + 5 and {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
+    groups, load, where, slots = defaultdict(int), [0] * 24, defaultdict(set), defaultdict(list)
+    for r in got:
+        data = (text[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(data) + 8, zlib.crc32(data))
+        groups[data] += r["size"]
+        load[r["shard"]] += r["size"]
+        where[data].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert load == heap_of(groups.values(), 24)[0]
+    assert all(len(v) == 1 for v in where.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_hot_groups_are_broadcast(frame, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 20)
+    monkeypatch.setattr(sharding, "MOST_HOT", 10)
+    rows = [(k, "hot text" if k % 3 == 0 else f"{k} text") for k in range(600)] + [(7, "same row")] * 50
+    load, groups = [0] * 24, defaultdict(int)
+    for r in shards(frame(rows)):
+        load[r["shard"]] += r["size"]
+        groups[r["text"]] += r["size"]
+    assert load == heap_of(groups.values(), 24)[0]
 
 
 def test_clashing_names_and_repeats(frame):
