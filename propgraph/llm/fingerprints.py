@@ -2,16 +2,24 @@
 
 A fingerprint is a wide vector of sums modulo powers of two. Each paragraph (line) adds a vector hashed from it:
 ``EXACT`` words of its seeded 61-bit hashes, and for each of its sentences a count and ``2 * SHIFTS`` words that hold
-three one-bit counters each, modulo 2^62. Sums do not depend on the order of paragraphs; ``combine`` adds or removes
+two one-bit counters each, modulo 2^62. Sums do not depend on the order of paragraphs; ``combine`` adds or removes
 paragraphs without the rest of the text. Equal texts have equal fingerprints; texts that are not permutations of the
 same paragraphs have equal ones with a probability of about 2^-480.
 
 Likeness: the counters are random signs of the sentences' hashes, so that the mean of the squared differences of two
 vectors estimates in how many sentences two texts differ: 1 for the same sentences, about 0 for none in common, with
-an error of about 0.1.
+an error of about 0.1. A counter has 31 bits, more than a text has sentences.
+
+Scale of ``with_next``: rows with one id and one text are collapsed before anything else, so that each remaining one
+has a key of its own (id and text hash). The order is found on keys and lengths alone, by a range partitioning whose
+ranges hold equal numbers of rows whatever the ids are (null, clustered, extreme). Texts are shuffled by key once, with
+their vectors, and each row sends the one before it in the order its vector and as many characters as that one
+replaces. Copies that were collapsed are dealt out again in portions of ``PORTION`` rows.
 
 Defined results: a null text is an empty one; the empty text has one empty paragraph and no sentence; two texts
-without a sentence are alike (1); repeated rows have equal fingerprints; sums wrap, they never overflow.
+without a sentence are alike (1); rows with equal ids are ordered by their texts' hashes, null ids come last; of
+repeated rows all but one are followed by themselves; an empty table gives an empty result; sums wrap, they never
+overflow.
 """
 
 from __future__ import annotations
@@ -19,14 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, held
+from .common import written
 
-EXACT, SHIFTS = 8, 21
+EXACT, SHIFTS = 8, 31
 _MOD = (1 << 62) - 1
-_COUNTERS = 1 | 1 << 21 | 1 << 42
-_LANE = (1 << 21) - 1
-#: Rows of a window in which each document sees the next; more of them only beyond 2 * 10^8 rows.
-ROWS_A_BUCKET, MOST_BUCKETS, QUANTILES = 2000, 100_000, 64
+_COUNTERS = 1 | 1 << 31
+_LANE = (1 << 31) - 1
+#: Keys of a range in which each sees the next; rows that are dealt out at a time.
+RANGE, PORTION = 1_000_000, 10_000
 SENTENCE = r"\n|(?<=[.!?]) +"
 
 
@@ -72,9 +80,9 @@ def likeness(a: Column, b: Column) -> Column:
     at = lambda v: F.slice(v, 2, 2 * SHIFTS)
 
     def squares(x: Column, y: Column, n: Column, m: Column) -> Column:
-        """Over the three counters of a word: squared difference, and squared norms, of the signed sums."""
+        """Over the two counters of a word: squared difference, and squared norms, of the signed sums."""
         out = None
-        for s in (0, 21, 42):
+        for s in (0, 31):
             p, q = (shift(w, s).bitwiseAND(F.lit(_LANE)).cast("double") * 2 - k for w, k in ((x, n), (y, m)))
             part = (p - q) * (p - q), p * p + q * q
             out = part if out is None else (out[0] + part[0], out[1] + part[1])
@@ -87,45 +95,72 @@ def likeness(a: Column, b: Column) -> Column:
     return let(total, lambda t: F.when(a == b, 1.0).when(t.n == 0, F.when(t.d == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - t.d / t.n)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, no nulls in text) with ``next_text``: the text of the next id below, after the last the first.
+KEY = ("__null", "__neg", "__h")
+
 
-    Ids are cut into ranges of about ROWS_A_BUCKET rows; each range also gets a copy of the row that follows it, so
-    that texts are shuffled once. Equal ids are ordered by the text's hash; null ids come last.
-    """
-    keyed = docs.withColumn("__neg", F.bitwise_not("doc_id")).withColumn("__h", F.xxhash64("text"))  # ascending in __neg is descending in doc_id
-    slim = held(keyed.select("__neg", "__h"))
+def order(slim: DataFrame) -> DataFrame:
+    """``slim`` (KEY, n_chars) in the whole order, with the key and the length of the row before each (before the first:
+    of the last) as ``to`` and ``to_chars``. The driver gets a row for each range."""
     rows = slim.count()
-    size = max(ROWS_A_BUCKET, -(-rows // MOST_BUCKETS))
-    cuts = slim.agg(F.percentile_approx("__neg", [k / QUANTILES for k in range(1, QUANTILES)], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    q = F.when(F.col("__neg").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("__neg"))))
-    ranges = slim.groupBy(q.alias("q")).agg(F.min("__neg").alias("lo"), F.max("__neg").alias("hi"), F.count("*").alias("n")).collect()  # QUANTILES + 1 rows at most
-    edges = {r["q"]: (r["lo"] or 0, max(1, -(-((r["hi"] or 0) - (r["lo"] or 0) + 1) // -(-r["n"] // size)))) for r in ranges}
-    pick = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in sorted(edges.items()) for x in (k, v[i]))).cast("map<int,decimal(20,0)>"), q)
-    place = F.struct(q.alias("q"), F.coalesce(F.floor((F.col("__neg").cast("decimal(20,0)") - pick(0)) / pick(1)).cast("long"), F.lit(0)).alias("k")) if edges else F.struct(F.lit(0).alias("q"), F.lit(0).cast("long").alias("k"))
-    dealt = keyed.withColumn("__bucket", place)
-    heads = slim.withColumn("__bucket", place).groupBy("__bucket").agg(F.min(F.struct(F.col("__neg").isNull().alias("last"), "__neg", "__h")).alias("f"))
-    ranked = held(global_rank(heads.select("__bucket", "f"), [F.col("__bucket")], "fp-heads", "rank", 8))
-    n = ranked.count()  # no more than MOST_BUCKETS + QUANTILES + 1
-    before = ranked.select(F.col("f.__neg").alias("fneg"), F.col("f.__h").alias("fh"), ((F.col("rank") + n - 1) % F.lit(max(n, 1))).alias("rank"))
-    follow = before.join(ranked.select("rank", F.col("__bucket").alias("to")), "rank").select("fneg", "fh", "to")
-    ghosts = keyed.join(F.broadcast(follow), F.col("__neg").eqNullSafe(F.col("fneg")) & (F.col("__h") == F.col("fh")))
-    ghosts = ghosts.select("doc_id", "text", "__neg", "__h", F.col("to").alias("__bucket"), F.lit(1).alias("__ghost"))
-    w = Window.partitionBy("__bucket").orderBy("__ghost", F.col("__neg").asc_nulls_last(), "__h")
-    both = dealt.withColumn("__ghost", F.lit(0)).select(*ghosts.columns).unionByName(ghosts)
-    return both.withColumn("next_text", F.lead("text").over(w)).filter("__ghost = 0").select("doc_id", "text", "next_text")
+    dealt = slim.repartitionByRange(max(32, -(-rows // RANGE)), *KEY).sortWithinPartitions(*KEY)
+    dealt = written(dealt.withColumn("pid", F.spark_partition_id()).withColumn("idx", F.monotonically_increasing_id()), "fp-order")
+    me = F.struct(*KEY, "n_chars")
+    last = dict(dealt.groupBy("pid").agg(F.max_by(me, "idx").alias("last")).collect())
+    if not last:
+        return slim.select(*KEY, F.struct(*KEY).alias("to"), F.col("n_chars").alias("to_chars"))
+    pids = sorted(last)
+    before = slim.sparkSession.createDataFrame([(p, last[pids[k - 1]]) for k, p in enumerate(pids)], f"pid int, before {dealt.select(me.alias('m')).schema['m'].dataType.simpleString()}")
+    found = dealt.join(F.broadcast(before), "pid")  # a row for each range
+    back = F.coalesce(F.lag(me).over(Window.partitionBy("pid").orderBy("idx")), F.col("before"))
+    found = found.withColumn("b", back)
+    return found.select(*KEY, F.struct(*(F.col(f"b.{k}").alias(k) for k in KEY)).alias("to"), F.col("b.n_chars").alias("to_chars"))
+
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables of the distinct rows of ``docs`` (doc_id, text, no nulls in text): doc_id, n_chars, text, vector,
+    copies; and these with ``head`` and ``next_vector``, the next text's first floor(n_chars / 3) characters and its
+    vector. Next is the next id below, after the last the first."""
+    keyed = docs.select(
+        "doc_id", "text", F.col("doc_id").isNull().alias("__null"), F.bitwise_not(F.coalesce("doc_id", F.lit(0).cast("long"))).alias("__neg"),
+        F.xxhash64("text").alias("__h"), F.length("text").cast("long").alias("n_chars"),
+    )
+    # ascending in __neg is descending in doc_id
+    links = order(keyed.groupBy(*KEY).agg(F.min("n_chars").alias("n_chars")))
+    one = keyed.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    one = one.withColumn("vector", vector(F.col("text")))
+    sent = one.join(links, [*KEY]).select(*(F.col(f"to.{k}").alias(k) for k in KEY), F.substring("text", F.lit(1), F.floor(F.col("to_chars") / 3).cast("int")).alias("head"), F.col("vector").alias("next_vector"))
+    return one, one.join(sent, [*KEY])
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
+    distinct, near = with_next(docs)
     k = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - k).cast("int")), F.substring("next_text", F.lit(1), k))
-    rows = near.withColumn("edited", edited)
-    parts = F.struct(vector(F.col("text")).alias("a"), vector(F.col("edited")).alias("b"), vector(F.col("next_text")).alias("c"))
-    out = let(
-        parts,
-        lambda v: F.struct(to_text(v.a).alias("fingerprint"), to_text(v.b).alias("edited_fingerprint"), likeness(v.a, v.b).alias("near_edited"), likeness(v.a, v.c).alias("near_next")),
-    )
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), out.alias("o")).select("doc_id", "n_chars", "edited_sha256", "o.fingerprint", "o.edited_fingerprint", "o.near_edited", "o.near_next")
+    kept = (F.col("n_chars") - k).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), kept), "head")
+
+    def result(edited: Column, after: Column) -> Column:
+        def out(e: Column) -> Column:
+            return let(
+                vector(e),
+                lambda b: F.struct(
+                    F.sha2(e.cast("binary"), 256).alias("edited_sha256"), to_text(b).alias("edited_fingerprint"),
+                    likeness(F.col("vector"), b).alias("near_edited"), likeness(F.col("vector"), after).alias("near_next"),
+                ),
+            )
+
+        return let(edited, out)
+
+    own = F.concat(F.substring("text", F.lit(1), kept), F.substring("text", F.lit(1), k))  # of a row that is followed by itself
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+    def named(rows: DataFrame, out: Column, *more: str) -> DataFrame:
+        rows = rows.select("doc_id", "n_chars", to_text(F.col("vector")).alias("fingerprint"), out.alias("o"), *more)
+        return rows.select("doc_id", "n_chars", "o.edited_sha256", "fingerprint", "o.edited_fingerprint", "o.near_edited", "o.near_next", *more)
+
+    first = named(near, result(edited, F.col("next_vector")))
+    copies = named(distinct.filter("copies > 1"), result(own, F.col("vector")), "copies")
+    portions = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies") - 1, F.lit(PORTION).cast("long")))
+    copies = copies.withColumn("at", portions).repartition("doc_id", "fingerprint", "at")
+    copies = copies.withColumn("copy", F.explode(F.sequence("at", F.least(F.col("copies") - 1, F.col("at") + PORTION - 1))))
+    return first.unionByName(copies.select(*names)).select(*names)

@@ -37,14 +37,44 @@ def test_edited_texts_and_order(corpus):
 
 
 def test_many_ranges(spark, frame, monkeypatch):
-    """Ids with gaps, clusters and extremes, in ranges of four rows."""
-    monkeypatch.setattr(fp, "ROWS_A_BUCKET", 4)
+    """Ids with gaps, clusters and extremes, nulls and copies, in ranges of four rows."""
+    monkeypatch.setattr(fp, "RANGE", 4)
+    monkeypatch.setattr(fp, "PORTION", 3)
     r = random.Random(8)
-    ids = r.sample(range(10_000), 60) + [10**15 + k for k in range(20)] + [2**63 - 1, -(2**63), -5, 0]
+    ids = r.sample(range(10_000), 40) + [10**15 + k for k in range(20)] + [2**63 - 1, -(2**63), -5, 0]
     rows = sorted({i: f"text of {i} line\n" * 4 for i in ids}.items(), reverse=True)
-    near = fp.with_next(frame(rows).select("doc_id", "text")).collect()
-    assert {(x["doc_id"], x["next_text"]) for x in near} == {(i, rows[(k + 1) % len(rows)][1]) for k, (i, _) in enumerate(rows)}
-    assert len(near) == len(rows)
+    got = run(frame(rows + [rows[5]] * 9).select("doc_id", "text")).collect()
+    text, sha = dict(rows), lambda t: hashlib.sha256(t.encode()).hexdigest()
+    cut = lambda t, after: t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+    expected = [(i, sha(cut(t, rows[(k + 1) % len(rows)][1]))) for k, (i, t) in enumerate(rows)] + [(rows[5][0], sha(cut(rows[5][1], rows[5][1])))] * 9
+    assert sorted((x["doc_id"], x["edited_sha256"]) for x in got) == sorted(expected)
+    assert sum(x["near_next"] == 1 for x in got) == 9 and len({x["fingerprint"] for x in got}) == len(text)
+    lost = run(frame([(None, f"{k} has no id") for k in range(30)] + [(1, "one text")])).collect()
+    assert len(lost) == 31 and len({x["edited_sha256"] for x in lost}) == 31
+
+
+def test_plan_has_no_python(spark, corpus):
+    plan = run(corpus[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_likeness_against_brute_force(spark, corpus):
+    """Likeness of pairs of texts, from counters made in Python of Spark's own sentence hashes."""
+    rows = [t or "" for _, t in corpus[0][:60]]
+    pairs = list(zip(rows, [rows[-1], *rows[:-1]], strict=True))
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
+    sentences = lambda c: F.filter(F.split(c, fp.SENTENCE, -1), lambda x: x != "")
+    hashed = [F.transform(sentences(c), lambda x, s=s: F.xxhash64(F.lit(-s), x)).alias(f"{c}{s}") for c in "ab" for s in (1, 2)]
+    made = df.select("k", (fp.vector(F.col("a")) == fp.vector(F.col("b"))).alias("same"), fp.likeness(fp.vector(F.col("a")), fp.vector(F.col("b"))).alias("x"), *hashed).collect()
+
+    def signs(hashes):
+        return [sum(2 * (h >> bit & 1) - 1 for h in hashes[s]) for s in (0, 1) for bit in range(62)]
+
+    for r in made:
+        a, b = signs((r["a1"], r["a2"])), signs((r["b1"], r["b2"]))
+        norm, diff = sum(x * x for x in a + b), sum((x - y) ** 2 for x, y in zip(a, b, strict=True))
+        expected = 1 if r["same"] else (1 if diff == 0 else 0) if norm == 0 else max(0, 1 - diff / norm)
+        assert abs(r["x"] - expected) < 1e-9, r["k"]
 
 
 def test_ties_nulls_and_empty(frame):
