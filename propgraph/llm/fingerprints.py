@@ -126,8 +126,9 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     # ascending in __neg is descending in doc_id
     links = order(keyed.groupBy(*KEY).agg(F.min("n_chars").alias("n_chars")))
-    one = keyed.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"), F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    one = one.withColumn("vector", vector(F.col("text")))
+    # as one value, and with a condition on the count, so that no use of this prunes a column: all read one exchange
+    one = keyed.groupBy(*KEY).agg(F.min(F.struct("doc_id", "n_chars", "text")).alias("r"), F.count(F.lit(1)).alias("copies")).filter("copies >= 1")
+    one = one.select(*KEY, "r.doc_id", "r.n_chars", "r.text", "copies").withColumn("vector", vector(F.col("text")))
     sent = one.join(links, [*KEY]).select(*(F.col(f"to.{k}").alias(k) for k in KEY), F.substring("text", F.lit(1), F.floor(F.col("to_chars") / 3).cast("int")).alias("head"), F.col("vector").alias("next_vector"))
     return one, one.join(sent, [*KEY])
 

@@ -64,7 +64,8 @@ def test_likeness_against_brute_force(spark, corpus):
     pairs = list(zip(rows, [rows[-1], *rows[:-1]], strict=True))
     df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "k int, a string, b string")
     sentences = lambda c: F.filter(F.split(c, fp.SENTENCE, -1), lambda x: x != "")
-    hashed = [F.transform(sentences(c), lambda x, s=s: F.xxhash64(F.lit(-s), x)).alias(f"{c}{s}") for c in "ab" for s in (1, 2)]
+    seeded = lambda s: lambda x: F.xxhash64(F.lit(-s), x)
+    hashed = [F.transform(sentences(c), seeded(s)).alias(f"{c}{s}") for c in "ab" for s in (1, 2)]
     made = df.select("k", (fp.vector(F.col("a")) == fp.vector(F.col("b"))).alias("same"), fp.likeness(fp.vector(F.col("a")), fp.vector(F.col("b"))).alias("x"), *hashed).collect()
 
     def signs(hashes):
