@@ -1,16 +1,14 @@
-"""Best-fit packing of tokenized documents by bin completion: branch and bound within a sequence, greedy over sequences.
+"""Best-fit packing of tokenized documents by bin completion, branch and bound.
 
 Documents become token ids (by a public tokenizer's file, whose path is a parameter) and end with id 0; only those
 longer than a sequence are cut, into whole sequences and a last, shorter piece. Pieces are then packed into as few
-sequences as the search finds.
+sequences as the search finds (``binpack``).
 
 Scale: packing needs only how many pieces there are of each length, which is at most ``capacity`` numbers, however
-many documents there are. The driver solves on that histogram: it takes the largest length left, enumerates fillings
-around it (largest first; an exact single or pair fill dominates any other), prunes those that the waste bound rules
-out, and applies the filling as often as the counts allow. Best-fit decreasing gives the first incumbent; the
-search varies its fillings while the lower bound is not met and its budget of nodes lasts. Each piece then finds its
-place by its length and its rank among pieces of that length, which come from windows over slices of each length (no
-length, however common, is one task).
+many documents there are. The driver solves on that histogram. Each piece then finds its place by its length and its
+rank among pieces of that length, which come from windows over slices of each length; rows that are repeated lie in
+different slices (no length and no document, however common, is one task). What is broadcast has at most ``capacity``
+rows, or that many for each of a length's slices: ``SLICES``, and one for each ``SLICE_ROWS`` pieces.
 
 Defined results: a null text is empty, a sequence of id 0 alone; repeated rows are packed each; null ids are kept;
 an empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so other columns cannot clash.
@@ -19,10 +17,8 @@ an empty table gives an empty result. Only ``doc_id`` and ``text`` are read, so
 from __future__ import annotations
 
 import json
-import math
 import re
 import zlib
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .binpack import solve
 from .common import held, small_batches
 
 CAPACITY, END = 2048, 0
@@ -38,7 +35,6 @@ CAPACITY, END = 2048, 0
 SLICES, SLICE_ROWS = 64, 1_000_000
 #: Words, and pieces of words, whose ids a worker keeps: the first ones that it meets, among them all common ones.
 CACHE = 250_000
-NODES, ROUNDS = 3000, 8
 _ODD = re.compile(r"[\x1c-\x1f]|<\|")
 
 
@@ -134,130 +130,6 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = EN
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-# -- the search, on a histogram of lengths -------------------------------------------------------------------------
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing: [(filling: length -> how many, how many such sequences)]."""
-    open_: dict[int, list] = {}  # room left -> fillings
-    for length in sorted(counts, reverse=True):
-        n = counts[length]
-        while n:
-            room = min((r for r in open_ if r >= length), default=None)
-            filling, times = open_[room].pop() if room is not None else ({}, n)
-            if room is not None and not open_[room]:
-                del open_[room]
-            room = capacity if room is None else room
-            each = min(room // length, n)
-            used = min(times, n // each)
-            if times > used and filling:
-                open_.setdefault(room, []).append((filling, times - used))
-            open_.setdefault(room - each * length, []).append(({**filling, length: filling.get(length, 0) + each}, used))
-            n -= each * used
-    return [x for v in open_.values() for x in v]
-
-
-def undominated(filling: dict[int, int], counts: dict[int, int], lengths: list[int], left: int) -> dict[int, int]:
-    """``filling`` with pieces replaced by larger ones that are there and still fit, until none can be: a filling that
-    can take such a piece is dominated by the one that has it. ``lengths`` descend."""
-    rising = lengths[::-1]
-    out, moved = dict(filling), True
-    while left and moved:
-        moved = False
-        for a in sorted(out):
-            for i in range(bisect_right(rising, a + left) - 1, bisect_right(rising, a) - 1, -1):
-                x = rising[i]
-                if counts[x] > out.get(x, 0):
-                    out[a] -= 1
-                    if not out[a]:
-                        del out[a]
-                    out[x] = out.get(x, 0) + 1
-                    left, moved = left - (x - a), True
-                    break
-            if moved:
-                break
-    return out
-
-
-def completions(counts: dict[int, int], lengths: list[int], room: int, skip: int = 0) -> dict[int, int]:
-    """The undominated filling of ``room`` with the least waste that the node budget finds; ``skip`` passes over as many exact ones.
-
-    A filling is dominated by one that has a single piece where it has several of the same sum, so that larger
-    lengths are tried first, and one that fills the room stands alone. A branch that nothing more fits into is pruned
-    unless its waste is below the best so far. At most 64 next lengths are tried at a node, and ``NODES`` nodes in all.
-    ``lengths`` descend.
-    """
-    best, best_left, nodes, passed = {}, room + 1, 0, 0
-    least = lengths[-1] if lengths else 0
-    stack: list[tuple[int, int, dict]] = [(room, 0, {})]
-    while stack and nodes < NODES:
-        left, at, taken = stack.pop()
-        nodes += 1
-        if left < best_left:
-            best, best_left = taken, left
-        if left and counts.get(left, 0) > taken.get(left, 0):
-            exact = {**taken, left: taken.get(left, 0) + 1}
-            if passed >= skip:
-                return exact
-            passed += 1
-            best, best_left = exact, 0
-            continue
-        if best_left <= 0 and passed >= skip:
-            break
-        more = []
-        for i in range(bisect_left(lengths, -left, lo=at, key=lambda x: -x), len(lengths)):
-            x = lengths[i]
-            if counts[x] > taken.get(x, 0) and (left - x >= least or left - x < best_left):
-                more.append((left - x, i, {**taken, x: taken.get(x, 0) + 1}))
-                if len(more) >= 64:
-                    break
-        stack.extend(reversed(more))
-    return undominated(best, counts, lengths, best_left) if 0 < best_left <= room else best
-
-
-def complete(counts: dict[int, int], capacity: int, allowed: int, skip: int) -> list[tuple[dict[int, int], int]] | None:
-    """One pass of bin completion; None as soon as its waste is more than ``allowed`` (it cannot beat the incumbent)."""
-    counts, out, waste = dict(counts), [], 0
-    lengths = sorted((k for k, n in counts.items() if n), reverse=True)
-    while lengths:
-        first = lengths[0]
-        counts[first] -= 1
-        rest = completions(counts, lengths, capacity - first, skip)
-        counts[first] += 1
-        filling = {**rest, first: rest.get(first, 0) + 1}
-        times = min(counts[k] // m for k, m in filling.items())
-        for k, m in filling.items():
-            counts[k] -= m * times
-        waste += (capacity - sum(k * m for k, m in filling.items())) * times
-        out.append((filling, times))
-        lengths = [k for k in lengths if counts[k]]
-        if waste > allowed and lengths:
-            return None
-    return out
-
-
-def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Fillings and how often each is used: every piece once, no filling over ``capacity``.
-
-    The outer search is greedy with restarts: up to ``ROUNDS`` passes of ``complete``, none of which comes back to a
-    filling that it has taken. Packings that only such branching would find are not searched.
-    """
-    counts = {k: n for k, n in counts.items() if n}
-    if not counts:
-        return []
-    total = sum(k * n for k, n in counts.items())
-    lower = max(math.ceil(total / capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
-    best = best_fit(counts, capacity)
-    bins = sum(t for _, t in best)
-    for skip in range(ROUNDS):
-        if bins <= lower:
-            break
-        found = complete(counts, capacity, (bins - 1) * capacity - total, skip)
-        if found and sum(t for _, t in found) < bins:
-            best, bins = found, sum(t for _, t in found)
-    return best
-
-
 def places(fillings: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
     """For each (length, first rank): the first sequence, how many a sequence, and the offset in it; sorted for search."""
     rank: dict[int, int] = {}
@@ -275,11 +147,12 @@ def places(fillings: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (which is read three times) with sequence_id and offset."""
-    spark = pieces.sparkSession
+    """``pieces`` with sequence_id and offset."""
+    spark, names = pieces.sparkSession, [*pieces.columns, "sequence_id", "offset"]
+    pieces = held(pieces.withColumn("__row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     where = spark.sparkContext.broadcast(places(solve(counts, capacity)))
-    order = ["doc_id", "piece", "ids_crc32"]
+    order = ["doc_id", "piece", "ids_crc32", "__row"]
     slices = spark.createDataFrame([(k, max(SLICES, -(-n // SLICE_ROWS))) for k, n in counts.items()], "length long, __slices int")
     dealt = pieces.join(F.broadcast(slices), "length")  # at most `capacity` rows
     sliced = dealt.withColumn("__slice", F.pmod(F.xxhash64(*order), F.col("__slices")).cast("int")).drop("__slices")
@@ -288,8 +161,7 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = sums.select("length", "__slice", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("length", "__slice").orderBy(*order)) - 1
     ranked = sliced.withColumn("__inside", inside).join(F.broadcast(before), ["length", "__slice"])  # at most capacity * SLICES rows, and one for each SLICE_ROWS pieces
-    ranked = ranked.select(*pieces.columns, (F.col("__before") + F.col("__inside")).cast("long").alias("__rank"))
-    names = [*pieces.columns, "sequence_id", "offset"]
+    ranked = ranked.select(*names[:-2], (F.col("__before") + F.col("__inside")).cast("long").alias("__rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = where.value
@@ -301,13 +173,13 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             made = [pa.array(p["seq"][i] + k // each), pa.array(p["at"][i] + (k % each) * length)]
             yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(len(names) - 2)), *made], names)
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields[:-1])
     return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text) with their sequence and offset."""
-    return assign(held(tokenize(docs, path, capacity, end, keep_ids)), capacity)
+    return assign(tokenize(docs, path, capacity, end, keep_ids), capacity)
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:

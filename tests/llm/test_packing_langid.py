@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from propgraph.llm import langid, packing
+from propgraph.llm import binpack, langid, packing
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -70,22 +70,78 @@ def test_solver(seed):
     size = [50, 200, 2000][seed % 3]
     lengths = np.minimum(2048, r.lognormal(6, 1.3, size).astype(int) + 1)
     counts = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True)), strict=True))
-    used = packing.solve(counts)
+    used = packing.solve(counts, 2048)
     total = Counter()
     for filling, times in used:
         assert sum(k * m for k, m in filling.items()) <= 2048
         for k, m in filling.items():
             total[k] += m * times
     assert total == counts
-    assert sum(t for _, t in used) <= sum(t for _, t in packing.best_fit(counts, 2048))
+    assert sum(t for _, t in used) <= sum(t for _, t in binpack.best_fit(counts, 2048))
+
+
+def optimum(pieces, capacity):
+    """The least number of sequences, by trying every place of every piece."""
+    pieces, best = sorted(pieces, reverse=True), [len(pieces)]
+
+    def put(k, loads):
+        if len(loads) >= best[0]:
+            return
+        if k == len(pieces):
+            best[0] = len(loads)
+            return
+        for j in {x: j for j, x in enumerate(loads)}.values():
+            if loads[j] + pieces[k] <= capacity:
+                put(k + 1, [*loads[:j], loads[j] + pieces[k], *loads[j + 1 :]])
+        put(k + 1, [*loads, pieces[k]])
+
+    put(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_small_packings_are_optimal(seed):
+    r = random.Random(seed)
+    capacity = r.choice([10, 17, 30, 100])
+    pieces = [r.randint(1, max(1, int(capacity * r.choice([0.4, 0.6, 1.0])))) for _ in range(r.randint(1, 11))]
+    counts = dict(Counter(pieces))
+    used = packing.solve(counts, capacity)
+    assert sum(t for _, t in used) == optimum(pieces, capacity) >= binpack.lower_bound(counts, capacity)
+    total = Counter()
+    for filling, times in used:
+        assert sum(k * m for k, m in filling.items()) <= capacity
+        for k, m in filling.items():
+            total[k] += m * times
+    assert total == Counter(pieces)
+
 
+@pytest.mark.parametrize("seed", range(5))
+def test_search_beats_best_fit(seed):
+    """Pieces of a quarter to two thirds of a sequence, where best fit is far from the bound."""
+    lengths = np.random.default_rng(seed).integers(500, 1301, 2000)
+    counts = dict(zip(*map(np.ndarray.tolist, np.unique(lengths, return_counts=True)), strict=True))
+    assert sum(t for _, t in packing.solve(counts, 2048)) < sum(t for _, t in binpack.best_fit(counts, 2048))
 
-def test_search_beats_best_fit():
-    """Best fit opens a third sequence; exact fillings need two."""
-    counts = {6: 2, 5: 2, 4: 2, 3: 1, 2: 1}
-    found = packing.solve({k * 10: n for k, n in counts.items()}, 180)
-    assert sum(t for _, t in found) == -(-sum(k * 10 * n for k, n in counts.items()) // 180)
-    assert packing.solve({}, 100) == []
+
+def test_bounds_prove():
+    """Three pieces never fit here, which the lengths' sum does not see."""
+    counts = dict(Counter(random.Random(1).randint(683, 1024) for _ in range(600)))
+    assert binpack.lower_bound(counts, 2048) == 300 == sum(t for _, t in packing.solve(counts, 2048))
+    assert packing.solve({k * 10: n for k, n in {6: 2, 5: 2, 4: 2, 3: 1, 2: 1}.items()}, 180) and packing.solve({}, 100) == []
+    w, scale = binpack.weights(100), binpack._scales(100, binpack.FUNCTIONS)
+    r = random.Random(2)
+    for _ in range(2000):  # no filling weighs more than one
+        left, own = 100, []
+        while left:
+            own.append(r.randint(1, left))
+            left -= own[-1]
+        assert (w[:, own].sum(axis=1) <= scale).all()
+
+
+def test_repeated_rows_lie_in_different_slices(frame, tokenizer, monkeypatch):
+    rows = [(1, "one row many times")] * 300
+    used, least = check(rows, packing.pack(frame(rows), PATH, 50).collect(), tokenizer, 50)
+    assert used <= least + least // 10 + 1
 
 
 # -- language ------------------------------------------------------------------------------------------------------
