@@ -6,13 +6,15 @@ gives a detection (rule, first word, last word). Where detections overlap, one t
 if the other is longer, or as long and of a rule with higher priority (earlier in the list); what remains gives the
 labels. The base phrases' places are all counted, and their labels always stay.
 
-The rules (some three hundred) are written as families of licenses, each with its wordings, and the forms of sentence
-that grant, refer to or name them. A row is scanned by itself: nothing is shuffled, and no row or group is hot.
-Suppression compares a detection with its neighbours by first word, within ``REACH`` of them: no signature is longer
-than 16 words, and at any word fewer than ``REACH / 16`` rules begin.
-
-Defined results: a null or empty text has no words, no labels and score 0; repeated rows get equal results; no column
-of the input but the id and the text is read, so none can clash.
+The rules are written by hand (``license_rules``). Each is a literal pattern of its own, so that it is compiled once a
+task. A row is scanned by itself: nothing is shuffled, and no row or group is hot. Suppression is a sweep over the
+detections in order of first word, the longest first: one is suppressed exactly if an earlier one ends where it does or
+later. Running sums and maxima are taken block by block, so that a text with n detections costs about ``BLOCK`` n steps
+and no more than n squared over ``BLOCK`` squared for the blocks' own.
+
+Defined results: a null or empty text has no words, no labels and score 0; repeated rows get equal results; texts of any
+length are scanned whole; columns of the input that have a result's name are replaced; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -21,135 +23,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fingerprints import let
+from .license_rules import BASE, rules  # noqa: F401
 
 #: What parts words: ASCII without letters and digits. Of other characters every one belongs to a word.
 APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-REACH = 512
-
-#: label -> (keyword that the prefilter looks for, regexes of its names, versions that may follow the name)
-FAMILIES: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
-    "apache": ("apache", (r"apache(?: software)? licen[cs]e", r"apache"), ("1 0", "1 1", "2 0", "2")),
-    "agpl": ("affero", (r"(?:gnu )?affero general public licen[cs]e",), ("1", "1 0", "3", "3 0")),
-    "agpl-short": ("agpl", (r"(?:gnu )?agpl",), ("1 0", "3", "3 0", "v3")),
-    "lgpl": ("lesser", (r"(?:gnu )?lesser general public licen[cs]e",), ("2", "2 1", "3", "3 0")),
-    "lgpl-library": ("library", (r"(?:gnu )?library general public licen[cs]e",), ("2", "2 0")),
-    "lgpl-short": ("lgpl", (r"(?:gnu )?lgpl",), ("2", "2 1", "3", "v2", "v3")),
-    "gpl-name": ("public", (r"gnu general public licen[cs]e", r"general public licen[cs]e"), ("1", "2", "2 0", "3", "3 0")),
-    "gpl-short": ("gpl", (r"(?:gnu )?gpl",), ("1", "2", "2 0", "3", "3 0", "v2", "v3")),
-    "gfdl": ("documentation", (r"(?:gnu )?free documentation licen[cs]e",), ("1 1", "1 2", "1 3")),
-    "mit": ("mit", (r"mit licen[cs]e",), ()),
-    "expat": ("expat", (r"expat licen[cs]e",), ()),
-    "bsd": ("bsd", (r"bsd licen[cs]e", r"bsd [234] clause(?: licen[cs]e)?", r"[234] clause bsd(?: licen[cs]e)?", r"(?:new|modified|simplified|revised) bsd licen[cs]e"), ()),
-    "isc": ("isc", (r"isc licen[cs]e",), ()),
-    "mpl": ("mozilla", (r"mozilla public licen[cs]e",), ("1 0", "1 1", "2 0")),
-    "mpl-short": ("mpl", (r"mpl",), ("1 0", "1 1", "2 0")),
-    "epl": ("eclipse", (r"eclipse public licen[cs]e",), ("1 0", "2 0")),
-    "cddl": ("distribution", (r"common development and distribution licen[cs]e",), ("1 0", "1 1")),
-    "cpl": ("common", (r"common public licen[cs]e",), ("1 0",)),
-    "artistic": ("artistic", (r"artistic licen[cs]e",), ("1 0", "2 0")),
-    "zlib": ("zlib", (r"zlib(?: libpng)? licen[cs]e",), ()),
-    "boost": ("boost", (r"boost software licen[cs]e",), ("1 0",)),
-    "unlicense": ("unlicense", (r"(?:the )?unlicense",), ()),
-    "wtfpl": ("wtfpl", (r"wtfpl",), ("2",)),
-    "eupl": ("european", (r"european union public licen[cs]e",), ("1 0", "1 1", "1 2")),
-    "ofl": ("font", (r"(?:sil )?open font licen[cs]e",), ("1 0", "1 1")),
-    "odbl": ("database", (r"open (?:data commons open )?database licen[cs]e",), ("1 0",)),
-    "psf": ("python", (r"python software foundation licen[cs]e", r"python licen[cs]e"), ("2", "2 0")),
-    "openssl": ("openssl", (r"openssl licen[cs]e",), ()),
-    "ms-pl": ("microsoft", (r"microsoft (?:public|reciprocal) licen[cs]e",), ()),
-    "cc0": ("cc0", (r"cc0",), ("1 0",)),
-    "cc-zero": ("commons", (r"creative commons zero",), ("1 0",)),
-    "cc-by-nc-nd": ("cc", (r"cc by nc nd",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc-nd-long": ("attribution", (r"attribution non ?commercial no ?deriv(?:ative)?s?",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc-sa": ("cc", (r"cc by nc sa",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc-sa-long": ("attribution", (r"attribution non ?commercial share ?alike",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc": ("cc", (r"cc by nc",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc-long": ("attribution", (r"attribution non ?commercial",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-sa": ("cc", (r"cc by sa",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-sa-long": ("attribution", (r"(?:creative commons )?attribution share ?alike",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nd": ("cc", (r"cc by nd",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-name": ("cc", (r"cc by",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-long": ("commons", (r"creative commons attribution",), ("2 0", "2 5", "3 0", "4 0")),
-    "cc-any": ("commons", (r"creative commons",), ()),
-    "public-domain": ("domain", (r"public domain", r"dedicated to the public domain", r"released into the public domain"), ()),
-    "proprietary": ("confidential", (r"proprietary and confidential", r"confidential and proprietary"), ()),
-    "copyright": ("copyright", (r"copyright (?:c )?(?:19|20)[0-9]{2}",), ()),
-    "copyrighted": ("copyrighted", (r"copyrighted (?:material|work)",), ()),
-    "permission": ("permission", (r"permission is hereby granted free of charge", r"permission to use copy modify and (?:or )?distribute"), ()),
-    "redistribution": ("redistribution", (r"redistribution and use in source and binary forms",), ()),
-    "no-warranty": ("warranty", (r"without warranty of any kind", r"without any warranty"), ()),
-}
-#: Labels of several families that are one license.
-SAME = {"copyrighted": "copyright", "expat": "mit", "cc-by-nc-nd-long": "cc-by-nc-nd", "cc-by-nc-sa-long": "cc-by-nc-sa", "agpl-short": "agpl", "lgpl-library": "lgpl", "lgpl-short": "lgpl", "gpl-name": "gpl", "gpl-short": "gpl", "mpl-short": "mpl", "cc-zero": "cc0", "cc-by-nc-long": "cc-by-nc", "cc-by-sa-long": "cc-by-sa", "cc-by-name": "cc-by", "cc-by-long": "cc-by"}
-GRANT = r"(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of the )?"
-#: How sure a form is: a sentence that grants, a name with its version, a bare name.
-GRANTED, VERSIONED, NAMED = 1.0, 0.9, 0.6
-
-
-def rules() -> list[tuple[str, str, str, float, bool]]:
-    """(label, keyword, regex over words, weight, is a base phrase), in order of priority."""
-    out = []
-    for label, (keyword, names, versions) in FAMILIES.items():
-        for name in names:
-            for v in versions:
-                out.append((SAME.get(label, label), keyword, f"{GRANT}{name} (?:version |v ?)?{v}(?: or later| licen[cs]e)?", GRANTED, False))
-            out.append((SAME.get(label, label), keyword, f"{GRANT}{name}", GRANTED, False))
-        for name in names:
-            for v in versions:
-                out.append((SAME.get(label, label), keyword, f"{name} (?:version |v ?)?{v}(?: or later| licen[cs]e)?", VERSIONED, False))
-        for name in names:
-            out.append((SAME.get(label, label), keyword, name, NAMED, False))
-    out += [(label, phrase.split()[-1] if phrase != "cc by" else "cc", phrase, NAMED, True) for phrase, label in BASE.items()]
-    return out
-
-
-def _some(words: set[str]) -> str:
-    return f"(?i) (?:{'|'.join(sorted(words))}) "
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Values that a running sum or maximum takes together.
+BLOCK = 64
+RESULTS = ("n_words", "detections", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def spaces(x: Column) -> Column:
+    return (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("long")
+
+
+def before(values: Column, start: Column, merge) -> Column:
+    """For each of an array's values what ``merge`` makes of all values before it, beginning with ``start``."""
+    fold = lambda a, zero: F.aggregate(a, zero, merge)
+
+    def of(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))
+        totals = F.transform(blocks, lambda b: fold(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), start))
+
+        def with_totals(t: Column) -> Column:
+            own = F.transform(t, lambda _, b: fold(F.slice(t, F.lit(1), b), start))
+            return let(own, lambda o: F.transform(v, lambda _, i: let(F.floor(i / BLOCK).cast("int"), lambda b: fold(F.slice(v, b * BLOCK + 1, i - b * BLOCK), F.get(o, b)))))
+
+        return F.when(F.size(v) == 0, F.slice(v, 1, 0)).otherwise(let(totals, with_totals))
+
+    return let(values, of)
+
+
+def _keywords(words: set[str]) -> str:
+    """A regex for any of the words; by first letter, so that most words of a text are passed over at once."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by.setdefault(w[0], []).append(w[1:])
+    return f"(?i) (?:{'|'.join(k + '(?:' + '|'.join(v) + ')' for k, v in by.items())}) "
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, detections (the base phrases' and those not suppressed), n_base, first_word, last_word, base_labels, labels, score."""
-    listed = rules()
+    listed = list(enumerate(rules()))
+    keys = sorted({key for _, (_, key, *_) in listed})
     plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), APART, " "))
-    rows = docs.withColumn("__p", plain)
+    rows = docs.withColumn("__p", plain).drop(*(c for c in RESULTS if c != text))
     p = F.col("__p")
-    rows = rows.withColumn("n_words", F.when(p == "", 0).otherwise(F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))) + 1).cast("long"))
-    table = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(f"(?i)(?<= )(?:{rx})(?= )").alias("rx"), F.lit(w).alias("weight"), F.lit(base).alias("base")) for k, (label, key, rx, w, base) in enumerate(listed)))
+    rows = rows.withColumn("n_words", F.when(p == "", F.lit(0).cast("long")).otherwise(spaces(p) + 1))
     padded = F.concat(F.lit(" "), p, F.lit(" "))
 
-    def found(t: Column, r: Column) -> Column:
-        """Detections of a rule: the text is parted before each match; spaces up to a part's start are words before it."""
-        marked = F.split(F.regexp_replace(t, r["rx"], F.lit("\u0001$0\u0002")), "\u0001", -1)
-        spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
+    def marked(t: Column) -> Column:
+        """(rule, text with a mark before and after each match) of the rules that match, key by key."""
+        none = F.array().cast("array<struct<k:int,m:string>>")
 
-        def intervals(parts: Column) -> Column:
-            counts = F.transform(parts, lambda x: spaces(x).cast("long"))
-            zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("all"))
-            before = lambda c: F.aggregate(c, zero, lambda a, x: F.struct((a["n"] + x).alias("n"), F.concat(a["all"], F.array(a["n"] + x)).alias("all")), lambda a: a["all"])
-            ends = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: spaces(F.substring_index(x, "\u0002", 1)).cast("long"))
-            return let(let(counts, before), lambda b: F.transform(ends, lambda n, i: F.struct((F.get(b, i) - 1).alias("start"), (F.get(b, i) - 1 + n).alias("end"), r["k"].alias("k"), r["label"].alias("label"), r["weight"].alias("weight"), r["base"].alias("base"))))
+        def of(key: str) -> Column:
+            own = []
+            for k, (_, of_key, rx, *_) in listed:
+                if of_key == key:
+                    stands = f"(?<= )(?:{rx})(?= )"
+                    hit = F.when(F.rlike(t, F.lit(stands)), F.regexp_replace(t, stands, "\u0001$0\u0002"))
+                    own.append(F.struct(F.lit(k).alias("k"), hit.alias("m")))
+            return F.when(F.contains(t, F.lit(f" {key} ")), F.filter(F.array(*own), lambda x: x["m"].isNotNull())).otherwise(none)
 
-        return let(marked, intervals)
+        return F.flatten(F.array(*map(of, keys)))
 
-    def all_found(t: Column) -> Column:
-        keys = F.filter(F.array(*(F.lit(k) for k in sorted({key for _, key, *_ in listed}))), lambda k: F.rlike(t, F.concat(F.lit("(?i) "), k, F.lit(" "))))
-        active = let(keys, lambda there: F.filter(table, lambda r: F.array_contains(there, r["key"])))
-        return F.sort_array(F.flatten(F.transform(active, lambda r: found(t, r))))
+    def places(hit: Column) -> Column:
+        """Detections of a rule: the text is parted before each match; spaces up to a part's start are words before it."""
 
-    kind = "array<struct<start:bigint,end:bigint,k:int,label:string,weight:double,base:boolean>>"
-    gate = padded.rlike(_some({key for _, key, *_ in listed}))
-    rows = rows.withColumn("__d", F.when(gate, let(padded, all_found).cast(kind)).otherwise(F.array().cast(kind)))
+        def intervals(parts: Column) -> Column:
+            counts = F.transform(parts, spaces)
+            ends = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: spaces(F.substring_index(x, "\u0002", 1)))
+            first = before(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+            return let(first, lambda b: F.transform(ends, lambda n, i: F.struct((F.get(b, i + 1) - 1).alias("start"), (-(F.get(b, i + 1) - 1 + n)).alias("neg_end"), hit["k"].alias("k"))))
 
-    def stay(d: Column) -> Column:
-        def within(x: Column, i: Column) -> Column:
-            near = F.slice(d, F.greatest(F.lit(1), i + 1 - REACH), F.lit(2 * REACH))
-            longer = lambda e: e["end"] - e["start"] > x["end"] - x["start"]
-            return F.exists(near, lambda e: (e["start"] <= x["start"]) & (e["end"] >= x["end"]) & (longer(e) | ((e["start"] == x["start"]) & (e["end"] == x["end"]) & (e["k"] < x["k"]))))
+        return let(F.split(hit["m"], "\u0001", -1), intervals)
 
-        return F.filter(d, lambda x, i: x["base"] | ~within(x, i))
+    kind = "array<struct<start:bigint,neg_end:bigint,k:int>>"
+    found = let(F.translate(padded, UPPER, LOWER), lambda t: F.sort_array(F.flatten(F.transform(marked(t), places))).cast(kind))
+    rows = rows.withColumn("__d", F.when(padded.rlike(_keywords(set(keys))), found).otherwise(F.array().cast(kind)))
+    is_base = lambda k: k >= len(listed) - len(BASE)
 
-    rows = rows.withColumn("detections", let(F.col("__d"), stay))
+    def stay(d: Column) -> Column:
+        ends = before(F.transform(d, lambda x: -x["neg_end"]), F.lit(-1).cast("long"), lambda a, x: F.greatest(a, x))
+        kept = let(ends, lambda e: F.filter(d, lambda x, i: is_base(x["k"]) | (F.get(e, i) < -x["neg_end"])))
+        names, sure = (F.array(*(F.lit(r[j]) for _, r in listed)) for j in (0, 3))
+        named = lambda x: F.struct(x["start"], (-x["neg_end"]).alias("end"), x["k"].alias("k"), F.get(names, x["k"]).alias("label"), F.get(sure, x["k"]).alias("weight"), is_base(x["k"]).alias("base"))
+        return F.transform(kept, named)
+
+    whole = "array<struct<start:bigint,end:bigint,k:int,label:string,weight:double,base:boolean>>"
+    rows = rows.withColumn("detections", F.when(F.size("__d") > 0, let(F.col("__d"), stay).cast(whole)).otherwise(F.array().cast(whole)))
     base = let(F.filter("detections", lambda x: x["base"]), lambda b: F.struct(F.size(b).cast("long").alias("n"), F.array_min(F.transform(b, lambda x: x["start"])).alias("lo"), F.array_max(F.transform(b, lambda x: x["start"])).alias("hi"), F.array_join(F.array_sort(F.array_distinct(F.transform(b, lambda x: x["label"]))), ",").alias("labels")))
     rows = rows.withColumn("__b", base)
     score = F.coalesce(F.array_max(F.transform("detections", lambda x: x["weight"])), F.lit(0.0))
