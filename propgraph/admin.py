@@ -22,10 +22,21 @@ def _streams(session) -> list:
     return [q for q in session.graph.spark.streams.active if (q.name or "").startswith("replica")]
 
 
+def _acked(name: str) -> int:
+    """The last number that a replica has applied; 0 if it is not known in this process."""
+    from .streaming.changelog import following
+
+    return following[name].last_lsn if name in following else 0
+
+
+def _behind(session, name: str) -> int:
+    return session.store.log.bytes_after(_acked(name)) if session.store.log is not None else 0
+
+
 def _replicas(session):
     if session.read_only:
-        return _message("not a primary server")
-    rows = [(q.name, "active" if q.isActive else "stopped", "0", str((q.lastProgress or {}).get("batchId", ""))) for q in _streams(session)]
+        return _message("only a primary has replicas")
+    rows = [(q.name, "active" if q.isActive else "stopped", str(_behind(session, q.name)), str(_acked(q.name))) for q in _streams(session)]
     return ["id", "state", "lag_bytes", "acked_lsn"], rows
 
 
@@ -35,8 +46,8 @@ def _status(session):
 
 def _lag(session):
     if session.read_only:
-        return _message("not a primary server")
-    rows = [(q.name, "0", "0", str((q.lastProgress or {}).get("durationMs", {}).get("triggerExecution", 0))) for q in _streams(session)]
+        return _message("only a primary has replicas")
+    rows = [(q.name, "0", str(_behind(session, q.name)), str((q.lastProgress or {}).get("durationMs", {}).get("triggerExecution", 0))) for q in _streams(session)]
     return ["replica", "shard", "lag_bytes", "lag_ms"], rows
 
 
@@ -50,9 +61,9 @@ def _shard_status(session):
 
 def _promote(session):
     if not session.read_only:
-        return _message("not a replica server")
+        return _message("this is the primary already")
     session.read_only = False
-    return _message("replica promoted to primary")
+    return _message("this replica is the primary now")
 
 
 _COMMANDS = {

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
@@ -354,23 +354,17 @@ class Planner:
         cols = [c.value(r.expr).col.alias(f"c{k}") for k, r in enumerate(items)]
         if not self.statement.distinct:
             return s.df.select(*cols).toDF(*names)
-        return self.distinct(s, cols, [r.expr for r in items], names, {r.alias: r.expr for r in items if r.alias}, bool(keys))
-
-    def distinct(self, s: Bindings, cols: list[Column], exprs: list[A.Expr], names: list[str], aliases: dict, ordered: bool) -> DataFrame:
-        """Distinct rows; they stay in order if the order is by what is returned."""
-        out = s.df.select(*cols).dropDuplicates()
-        if ordered:
-            keys = []
-            for o in self.statement.order:
-                e = o.expr
-                if isinstance(e, A.Variable) and e.name not in s.variables:
-                    e = aliases.get(e.name, e)
-                if e not in exprs:
-                    return out.toDF(*names)
-                c = F.col(f"c{exprs.index(e)}")
-                keys.append(c.desc_nulls_last() if o.descending else c.asc_nulls_first())
-            out = out.orderBy(*keys)
-        return out.toDF(*names)
+        return self.distinct(s, cols, keys).toDF(*names)
+
+    def distinct(self, s: Bindings, cols: list[Column], keys: list[Column]) -> DataFrame:
+        """Distinct rows, in the order of the first one of each. The window's limit of one is applied in each task
+        before rows are shuffled, so that a value with many rows is not one task's work."""
+        if not keys:
+            return s.df.select(*cols).dropDuplicates()
+        own = [f"c{k}" for k in range(len(cols))]
+        rows = s.df.select("*", *cols)
+        first = rows.withColumn("<first>", F.row_number().over(Window.partitionBy(*own).orderBy(*keys))).filter(F.col("<first>") == 1)
+        return first.orderBy(*keys).select(*own)
 
 
 def _unique(names: list[str]) -> list[str]:

@@ -216,7 +216,10 @@ class Writer:
         df = s.df.withColumn(f"{b.prefix}.{item.name}", value)
         s = replace(s, df=written(df, "bindings"), kinds={**s.kinds, (item.variable, item.name): kind})
         b = replace(b, names=tuple(dict.fromkeys([*b.names, item.name])))
-        # an id that several rows set gets one of their values
-        rows = s.df.select(b.id.alias("_id"), b.prop(item.name).alias("value")).dropDuplicates(["_id"])
+        # an id that several rows set gets the last one's value, rows being in the order of the ids that they bind: the
+        # same on each run. It is in a struct, which is not null where the value is
+        order = F.struct(*(x.id.alias(f"o{k}") for k, x in enumerate(s.variables.values())))
+        last = F.max_by(F.struct(b.prop(item.name).alias("value")), order)
+        rows = s.df.groupBy(b.id.alias("_id")).agg(last.alias("l")).select("_id", "l.value")
         self.change(Update(b.kind, b.labels, item.name, written(rows, "updated")))
         return replace(s, graph=self.graph, variables={**s.variables, item.variable: b})

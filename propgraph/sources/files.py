@@ -31,12 +31,12 @@ def versions(spark: SparkSession, path: str) -> list[int]:
     return sorted(out)
 
 
-def save(graph: PropertyGraph, path: str, next_id: int = 0) -> int:
-    """Writes a new version, and gives its number."""
+def save(graph: PropertyGraph, path: str, next_id: int = 0, more: dict | None = None) -> int:
+    """Writes a new version, with ``more`` (of JSON's kinds) in its manifest, and gives its number."""
     spark = graph.spark
     number = max(versions(spark, path), default=0) + 1
     at = f"{path}/v{number:08d}"
-    manifest = {"whole": graph.whole, "next_id": next_id, "tags": [[k, x, t] for (k, x), t in graph.tags.items()], "tables": []}
+    manifest = {"whole": graph.whole, "next_id": next_id, "tags": [[k, x, t] for (k, x), t in graph.tags.items()], "tables": [], "more": more or {}}
     for kind in ("node", "edge"):
         for k, (label, t) in enumerate(graph.tables(kind).items()):
             name = f"{kind}s/{k:04d}"
@@ -46,15 +46,24 @@ def save(graph: PropertyGraph, path: str, next_id: int = 0) -> int:
     return number
 
 
-def load(spark: SparkSession, path: str, version: int | None = None) -> tuple[PropertyGraph, int]:
-    """The graph of a version (the newest, if none is given), and its next id."""
-    from pyspark.sql.types import StructType
-
+def _manifest(spark: SparkSession, path: str, version: int | None) -> tuple[str, dict]:
     there = versions(spark, path)
     if not there or (version is not None and version not in there):
         raise GraphError(f"{path} has no {'such ' if there else ''}version of a graph")
     at = f"{path}/v{version or there[-1]:08d}"
-    m = json.loads("".join(r[0] for r in spark.read.text(f"{at}/{MANIFEST}").collect()))
+    return at, json.loads("".join(r[0] for r in spark.read.text(f"{at}/{MANIFEST}").collect()))
+
+
+def more(spark: SparkSession, path: str, version: int | None = None) -> dict:
+    """What was saved with a version beside the graph."""
+    return _manifest(spark, path, version)[1].get("more", {})
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> tuple[PropertyGraph, int]:
+    """The graph of a version (the newest, if none is given), and its next id."""
+    from pyspark.sql.types import StructType
+
+    at, m = _manifest(spark, path, version)
     g = PropertyGraph(spark, tags={(k, x): t for k, x, t in m["tags"]}, whole=m["whole"])
     for kind, label, name, required, ends, schema in m["tables"]:
         df = spark.read.schema(StructType.fromJson(schema)).parquet(f"{at}/{name}")

@@ -1,15 +1,19 @@
 """Change logs: committed transactions as rows, and replicas that apply them by Structured Streaming.
 
 A commit appends its changes to the log, between a begin and a commit row, in one write; what was rolled back is
-never logged. Every row has a number (lsn) that is used once, the id of the graph, and a checksum. A replica reads the
-log as a file stream; it keeps rows back until their transaction's commit row is there, applies transactions in the
-order of their commits, skips rows that it has had, and stops for good at a row that fails its checks.
+never logged. Every row has a number (lsn) that is used once, the id of the graph, and a checksum; a transaction's rows
+have neighbouring numbers, and its id is the first of them. A replica reads the log as a file stream; it keeps rows
+back until their whole transaction is there, whatever order files arrive in, applies transactions in the order of
+their numbers, skips rows of those that it has applied, and stops for good at a row that fails its checks. A replica
+with a folder of its own saves its state there with each batch, and goes on from it after a restart, also if that
+state is that it has stopped. The log's files that every replica has applied can be dropped (``retain``).
 """
 
 from __future__ import annotations
 
 import json
 import threading
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +23,7 @@ from pyspark.sql import types as T
 from ..errors import CorruptLogError, GraphError
 from ..operators.mutate import Change, Insert, Remove, Update, compacted
 from ..session import GraphStore
+from ..sources import files
 from ..sources.catalog import EDGE_COLUMNS, NODE_COLUMNS
 from ..sources.shared import numbered, written
 
@@ -94,66 +99,137 @@ class ChangeLog:
     def read(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
-    def append(self, tx_id: int, changes: list[Change]) -> None:
+    def append(self, changes: list[Change]) -> None:
         """One transaction's rows, numbered in the order of its steps."""
         blank = {"id": None, "src": None, "dst": None, "body": None, "meta": None}
         marks = self.spark.createDataFrame([({"step": -1, "action": "begin"} | blank), ({"step": len(changes), "action": "commit"} | blank)], "id long, src long, dst long, body string, step int, action string, meta string")
         rows = reduce(DataFrame.unionByName, [_rows(c, k) for k, c in enumerate(changes)], marks)
         # the commit row gets the last number: steps are ranges, and each partition is numbered after the one before
         dealt = rows.repartitionByRange(8, "step").sortWithinPartitions("step")
-        rows = numbered(dealt, "log", "n").withColumns({"graph_id": F.lit(self.graph_id), "tx_id": F.lit(tx_id).cast("long"), "lsn": F.col("n") + self.next_lsn})
+        rows = numbered(dealt, "log", "n").withColumns({"graph_id": F.lit(self.graph_id), "tx_id": F.lit(self.next_lsn).cast("long"), "lsn": F.col("n") + self.next_lsn})
         rows = rows.withColumn("crc", checksum()).select(*SCHEMA.names)
         self.next_lsn += rows.count()
         rows.write.mode("append").parquet(self.path)
 
 
+    def bytes_after(self, lsn: int) -> int:
+        """How much of the log, about, lies after a row."""
+        size = sum((F.octet_length(F.coalesce(F.col(f.name).cast("string"), F.lit(""))) for f in SCHEMA.fields), F.lit(0))
+        return self.read().filter(F.col("lsn") > lsn).agg(F.sum(size)).first()[0] or 0 if self._there() else 0
+
+    def retain(self, acked: int) -> int:
+        """Drops the files all of whose rows are numbered ``acked`` or less (the least of what the replicas have applied)
+        and gives their number. The file with the last row stays, so that numbers are not used again."""
+        if not self._there():
+            return 0
+        files = self.read().groupBy(F.input_file_name().alias("file")).agg(F.max("lsn").alias("last"))
+        files = [(r["last"], r["file"]) for r in files.orderBy("last").collect()]  # a row for each file
+        jvm, conf = self.spark._jvm.org.apache.hadoop.fs, self.spark._jsc.hadoopConfiguration()
+        old = [f for last, f in files[:-1] if last <= acked]
+        for f in old:
+            jvm.Path(f).getFileSystem(conf).delete(jvm.Path(f), False)
+        return len(old)
+
+
+#: Replicas that follow a log in this process, by the names of their streams.
+following: dict[str, Replica] = {}
+
+
 class Replica:
-    """A store that follows a log."""
+    """A store that follows a log. With ``path`` it saves its state after each batch, and begins with what is there."""
 
-    def __init__(self, store: GraphStore, graph_id: str):
-        self.store, self.graph_id = store, graph_id
-        self.last_lsn, self.poisoned = 0, False
+    def __init__(self, store: GraphStore, graph_id: str, path: str | None = None):
+        self.store, self.graph_id, self.path = store, graph_id, path
+        self.applied: list[list[int]] = []  # ranges of numbers, first and last; neighbours are one
+        self.poisoned = False
         self.pending: DataFrame | None = None
         self._lock = threading.Lock()
+        spark = store.graph.spark
+        if path and files.versions(spark, path):
+            state = files.more(spark, path)
+            if state["graph_id"] != graph_id:
+                raise CorruptLogError("the replica is of another graph")
+            graph, first = files.load(spark, path)
+            store.graph, store.next_id = graph, max(first, store.next_id)
+            self.applied, self.poisoned = state["applied"], state["poisoned"]
+            if state["pending"]:
+                self.pending = spark.read.schema(SCHEMA).parquet(state["pending"])
+
+    @property
+    def last_lsn(self) -> int:
+        return self.applied[-1][1] if self.applied else 0
+
+    def _save(self) -> None:
+        if self.path:
+            pending = f"{self.path}/pending-{uuid.uuid4().hex}" if self.pending is not None else None
+            if pending:
+                self.pending.write.parquet(pending)
+            files.save(self.store.graph, self.path, self.store.next_id, {"graph_id": self.graph_id, "applied": self.applied, "poisoned": self.poisoned, "pending": pending})
+
+    def _stop(self, why: str) -> None:
+        self.poisoned = True
+        self._save()
+        raise CorruptLogError(why)
 
     def apply(self, batch: DataFrame, batch_id: int = 0) -> None:
         """A batch of log rows; rows that were had before change nothing."""
         with self._lock:
             if self.poisoned:
                 raise CorruptLogError("the replica has stopped at a corrupt row")
-            rows = written(batch.filter(F.col("lsn") > self.last_lsn).dropDuplicates(["lsn"]), "log-batch")
+            if not {f.name for f in SCHEMA.fields} <= set(batch.columns):
+                self._stop("the log has other columns")
+            for first, last in self.applied:
+                batch = batch.filter(~F.col("lsn").between(first, last))
+            rows = written(batch.select(*SCHEMA.names).dropDuplicates(["lsn"]), "log-batch")
             bad = rows.filter((checksum() != F.col("crc")) | F.col("crc").isNull())
             if not bad.isEmpty():
-                self.poisoned = True
-                raise CorruptLogError(f"the checksum of row {bad.first()['lsn']} differs")
+                self._stop(f"the checksum of row {bad.first()['lsn']} differs")
             if not rows.filter(F.col("graph_id") != self.graph_id).isEmpty():
-                self.poisoned = True
-                raise CorruptLogError("the log is of another graph")
-            last = rows.agg(F.max("lsn")).first()[0]
-            if last is None:
+                self._stop("the log is of another graph")
+            if rows.isEmpty():
                 return
-            waiting = rows if self.pending is None else self.pending.unionByName(rows)
-            ended = {r["tx_id"]: r["action"] for r in waiting.filter("action in ('commit', 'abort')").select("tx_id", "action", "lsn").orderBy("lsn").collect()}
+            waiting = rows if self.pending is None else written(self.pending.unionByName(rows).dropDuplicates(["lsn"]), "log-waiting")
+            end = F.max(F.when(F.col("action").isin("commit", "abort"), F.col("lsn")))
+            ended = waiting.groupBy("tx_id").agg(end.alias("last"), F.count("*").alias("n"), F.max(F.col("action") == "abort").alias("aborted"))
+            # a transaction is whole if as many rows are there as it has numbers
+            ended = ended.filter(F.col("last") - F.col("tx_id") + 1 == F.col("n")).orderBy("tx_id").collect()
             graph = self.store.graph
-            for tx, how in ended.items():
-                own = waiting.filter(F.col("tx_id") == tx)
-                steps = own.filter("meta is not null").groupBy("step", "action", "meta").count().orderBy("step").collect() if how == "commit" else []
-                for s in steps:
+            steps = waiting.filter("meta is not null").groupBy("tx_id", "step", "action", "meta").agg(F.min("lsn").alias("first"), F.max("lsn").alias("last")).orderBy("first").collect() if ended else []
+            whole = {r["tx_id"] for r in ended if not r["aborted"]}
+            for s in steps:
+                if s["tx_id"] in whole:
                     # the rows of a step as a table of their own, so that the graph does not hold on to the batch
-                    part = written(own.filter(F.col("step") == s["step"]).select("id", "src", "dst", "body"), "log-step")
-                    graph = _change(part, s["action"], json.loads(s["meta"])).over(graph)
-            self.pending = written(waiting.filter(~F.col("tx_id").isin(list(ended))), "log-pending") if ended else waiting
-            self.store.graph, self.last_lsn = compacted(graph), last
-            self.store.version += 1
+                    own = waiting.filter(F.col("lsn").between(s["first"], s["last"]) & (F.col("step") == s["step"]))
+                    graph = _change(written(own.select("id", "src", "dst", "body"), "log-step"), s["action"], json.loads(s["meta"])).over(graph)
+            for r in ended:
+                waiting = waiting.filter(~F.col("lsn").between(r["tx_id"], r["last"]))
+                self.applied.append([r["tx_id"], r["last"]])
+            self.applied = _joined(self.applied)
+            self.pending = written(waiting, "log-pending") if ended else waiting
+            if ended:
+                self.store.graph = compacted(graph)
+                self.store.version += 1
+            self._save()
 
     def follow(self, path: str, checkpoint: str, name: str = "replica"):
         """A stream that applies what is in the log now, and ends; it goes on from there when it is started again."""
         spark = self.store.graph.spark
+        following[name] = self
         stream = spark.readStream.schema(SCHEMA).parquet(path)
         q = stream.writeStream.queryName(name).foreachBatch(self.apply).option("checkpointLocation", checkpoint)
         return q.trigger(availableNow=True).start()
 
 
+def _joined(ranges: list[list[int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for first, last in sorted(ranges):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return out
+
+
 def replicate(log: ChangeLog, store: GraphStore, checkpoint: str) -> Replica:
     """A replica of ``store``'s graph that has applied the whole log."""
     r = Replica(store, log.graph_id)

@@ -228,7 +228,133 @@ def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cities.unionByName(out.query("MATCH (n:Nation) RETURN n.name AS a, toString(n.key) AS b"))
 
 
+def distinct_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct rows in the order of a property that is not returned, with their places."""
+    out = GraphSession(star_graph(spark, sf_dir)).query("MATCH (c:Customer) RETURN DISTINCT c.segment AS s ORDER BY c.acctbal DESC")
+    return spark.createDataFrame([(r["s"], k) for k, r in enumerate(out.collect(), 1)], "s string, place long")  # five segments
+
+
+def set_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer sets its nation's property; the last one's value stays."""
+    s = GraphSession(star_graph(spark, sf_dir))
+    s.query("MATCH (c:Customer)-[:IN_NATION]->(n:Nation) SET n.last = c.key")
+    return s.query("MATCH (n:Nation) RETURN n.key AS n, n.last AS c")
+
+
+def set_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = GraphSession(star_graph(spark, sf_dir))
+    s.query("MATCH (c:Customer) WHERE c.acctbal < 0 SET c.segment = 'DEBT', c.owed = -c.acctbal")
+    return s.query("MATCH (c:Customer) RETURN c.key AS k, c.segment AS s, c.owed AS owed")
+
+
+def delete_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = GraphSession(star_graph(spark, sf_dir))
+    s.query("MATCH (o:SalesOrder) WHERE o.status = 'F' DELETE o")
+    return s.query("MATCH (c:Customer)-[:PLACED]->(o) RETURN c.key AS c, labels(o) AS l")
+
+
+def create_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = GraphSession(star_graph(spark, sf_dir))
+    s.query("MATCH (c:Customer)-[:PLACED]->(o:SalesOrder) CREATE (c)-[:OWES {amount: o.totalprice}]->(b:Bill {of: o.key})")
+    return s.query("MATCH (c:Customer)-[e:OWES]->(b:Bill) RETURN c.key AS c, b.of AS o, e.amount AS a")
+
+
+def flush_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph in files, changed, saved again and opened."""
+    s, path = GraphSession(star_graph(spark, sf_dir)), new_path(spark, "flushed")
+    s.query("MATCH (p:Part) WHERE p.size > 25 SET p.brand = 'LARGE'")
+    s.flush(path)
+    graph, first = files.load(spark, path)
+    return GraphSession(GraphStore(graph, first_id=first)).query("MATCH (o:SalesOrder)-[:HAS_PART]->(p:Part) RETURN o.key AS o, p.key AS p, p.brand AS b")
+
+
+def _logged(spark: SparkSession, s: GraphSession):
+    from .streaming.changelog import ChangeLog
+
+    s.store.log = ChangeLog(spark, new_path(spark, "changes"), s.store.graph_id)
+    return s.store.log
+
+
+def stream_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change to all customers by way of the log; the replica is opened anew between its two batches."""
+    from .streaming.changelog import Replica
+
+    s = GraphSession(star_graph(spark, sf_dir))
+    base = GraphStore(s.graph)
+    log, path = _logged(spark, s), new_path(spark, "replica")
+    s.query("MATCH (c:Customer) SET c.rank = c.key % 3")
+    first = Replica(base, log.graph_id, path)
+    first.apply(log.read())
+    s.query("MATCH (c:Customer) WHERE c.acctbal < 0 DELETE c")
+    again = Replica(GraphStore(PropertyGraph(spark)), log.graph_id, path)
+    again.apply(log.read())
+    return GraphSession(again.store, read_only=True).query("MATCH (c:Customer) RETURN c.key AS k, c.rank AS r, c.segment AS s")
+
+
+def replica_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stops a replica, and that it stays stopped after a restart; numbers after a restart of the log."""
+    from .errors import CorruptLogError
+    from .streaming.changelog import BLOCK, ChangeLog, Replica
+
+    s = _small(spark, sf_dir)
+    log = _logged(spark, s)
+    s.query("MATCH (n:Nation) SET n.name = 'X'")
+    path = new_path(spark, "replica")
+
+    def stops(replica, rows) -> bool:
+        try:
+            replica.apply(rows)
+        except CorruptLogError:
+            return True
+        return False
+
+    rows = log.read()
+    found = [
+        ("bad checksum", stops(Replica(GraphStore(s.graph), log.graph_id, path), rows.withColumn("crc", F.col("crc") + 1))),
+        ("still stopped", stops(Replica(GraphStore(s.graph), log.graph_id, path), rows)),
+        ("other graph", stops(Replica(GraphStore(s.graph), "another"), rows)),
+        ("other columns", stops(Replica(GraphStore(s.graph), log.graph_id), rows.drop("body"))),
+        ("sound rows", stops(Replica(GraphStore(s.graph), log.graph_id), rows)),
+        ("numbers once", rows.count() == rows.select("lsn").distinct().count()),
+        ("new block", ChangeLog(spark, log.path, log.graph_id).next_lsn == BLOCK + 1),
+    ]
+    return spark.createDataFrame(found, "what string, so boolean")
+
+
+def admin_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHOW commands and promotion on a primary and a replica; comments and letters of either case in statements."""
+    from .errors import ReadOnlyError
+
+    s = _small(spark, sf_dir)
+    r = GraphSession(s.store, read_only=True)
+
+    def only_reads(session) -> bool:
+        try:
+            session.query("MATCH (n:Nation {key: 0}) SET n.seen = 1")
+        except ReadOnlyError:
+            return True
+        return False
+
+    found = [
+        ("role", s.query("SHOW REPLICATION STATUS").first()["role"]), ("role of a replica", r.query("show replication status;").first()["role"]),
+        ("replicas", str(s.query("SHOW REPLICAS").count())), ("lag", str(s.query("SHOW REPLICATION LAG").count())),
+        ("shards", ",".join(sorted({x["status"] for x in s.query("SHOW SHARD STATUS").collect()}))),
+        ("only reads", str(only_reads(r))), ("promoted", r.query("PROMOTE REPLICA").columns[0]), ("writes", str(only_reads(r))),
+        ("comments", str(s.query("match (N:Nation) // all nations\n return count(*) as c").first()["c"])),
+    ]
+    return spark.createDataFrame(found, "what string, is string")
+
+
 STATES: dict[str, tuple] = {
+    "distinct_order": (distinct_order, "select s, row_number() over (order by m desc) as place from (select c_mktsegment as s, max(c_acctbal) as m from customer group by 1)"),
+    "set_last": (set_last, "select n_nationkey::bigint as n, max(c_custkey) as c from nation left join customer on c_nationkey = n_nationkey group by 1"),
+    "set_customers": (set_customers, "select c_custkey as k, case when c_acctbal < 0 then 'DEBT' else c_mktsegment end as s, case when c_acctbal < 0 then -c_acctbal end as owed from customer"),
+    "delete_orders": (delete_orders, "select o_custkey as c, case when o_orderstatus <> 'F' then 'SalesOrder' end as l from orders"),
+    "create_orders": (create_orders, "select o_custkey as c, o_orderkey as o, o_totalprice as a from orders"),
+    "flush_whole": (flush_whole, "select l_orderkey as o, l_partkey as p, case when p_size > 25 then 'LARGE' else p_brand end as b from lineitem join part on l_partkey = p_partkey"),
+    "stream_customers": (stream_customers, "select c_custkey as k, c_custkey % 3 as r, c_mktsegment as s from customer where c_acctbal >= 0"),
+    "replica_checks": (replica_checks, "select * from (values ('bad checksum', true), ('still stopped', true), ('other graph', true), ('other columns', true), ('sound rows', false), ('numbers once', true), ('new block', true)) v(what, so)"),
+    "admin_commands": (admin_commands, "select what, \"is\" from (values ('role', 'primary'), ('role of a replica', 'replica'), ('replicas', '0'), ('lag', '0'), ('shards', 'running'), ('only reads', 'True'), ('promoted', 'message'), ('writes', 'False'), ('comments', '25')) v(what, \"is\")"),
     "create_node": (create_node, "select r_name as name, r_regionkey::bigint as k from region union all select 'ATLANTIS', 100 union all select r_name, r_regionkey + 200 from region where r_name = 'ASIA'"),
     "create_edge": (create_edge, "select * from (values (1::bigint, 3::bigint, 0::bigint), (2, 4, 1)) v(a, d, r)"),
     "create_path": (create_path, "select * from (values ('A', 5::bigint, 'B'), ('C', 7, 'B')) v(x, km, y)"),

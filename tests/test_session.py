@@ -79,7 +79,7 @@ def test_read_only(session):
     with pytest.raises(ReadOnlyError):
         r.begin()
     assert r.query("show replication status").first()["role"] == "replica"
-    assert r.query("PROMOTE REPLICA").first()[0] == "replica promoted to primary"
+    assert r.query("PROMOTE REPLICA").first()[0] == "this replica is the primary now"
     r.query("CREATE (a:N {n: 'z', v: 0})")
     assert len(state(r)) == 3
 
@@ -155,6 +155,55 @@ def test_replica_stops_at_corrupt_rows(spark):
         Replica(GraphStore(PropertyGraph(spark)), "another").apply(s.store.log.read())
 
 
+def test_rows_that_arrive_in_any_order(spark):
+    """Files of later transactions first, and a commit row before its transaction's other rows."""
+    s = _logged(spark)
+    log = s.store.log.read().orderBy("lsn").collect()
+    r = Replica(GraphStore(PropertyGraph(spark)), s.store.graph_id)
+    second = max(x["tx_id"] for x in log)
+    for part in ([x for x in log if x["tx_id"] == second], [x for x in log if x["tx_id"] != second][2:], log[:2], log):
+        r.apply(spark.createDataFrame(part, s.store.log.read().schema))
+    assert r.applied == [[1, log[-1]["lsn"]]] and r.store.graph.nodes
+    assert {x[0] for x in state(GraphSession(r.store))} == {"a", "b"}
+
+
+def test_a_replica_goes_on_after_a_restart(spark):
+    s, path = _logged(spark), new_path(spark, "replica")
+    log = s.store.log.read().orderBy("lsn").collect()
+    rows = spark.createDataFrame(log, s.store.log.read().schema)
+    cut = next(x["lsn"] for x in log if x["action"] == "commit") + 1
+    Replica(GraphStore(PropertyGraph(spark)), s.store.graph_id, path).apply(rows.filter(F.col("lsn") <= cut))
+    again = Replica(GraphStore(PropertyGraph(spark)), s.store.graph_id, path)
+    assert again.last_lsn == cut - 1 and again.pending.count() == 1 and state(GraphSession(again.store)) == [("a", 1), ("b", 2)]
+    again.apply(rows)
+    assert state(GraphSession(Replica(GraphStore(PropertyGraph(spark)), s.store.graph_id, path).store)) == [("a", 1), ("b", 9)]
+    with pytest.raises(CorruptLogError):
+        Replica(GraphStore(PropertyGraph(spark)), "another", path)
+    s.query("MATCH (x:N {n: 'a'}) DELETE x")
+    with pytest.raises(CorruptLogError):
+        again.apply(s.store.log.read().withColumn("crc", F.lit(1).cast("long")))
+    with pytest.raises(CorruptLogError):
+        Replica(GraphStore(PropertyGraph(spark)), s.store.graph_id, path).apply(s.store.log.read())
+
+
+def test_what_all_have_applied_can_be_dropped(spark):
+    s = _logged(spark)
+    log, checkpoint = s.store.log, new_path(spark, "cp")
+    r = replicate(log, GraphStore(PropertyGraph(spark)), checkpoint)
+    before = log.read().count()
+    assert log.bytes_after(0) > log.bytes_after(3) > 0 == log.bytes_after(r.last_lsn)
+    assert log.retain(0) == 0 and log.read().count() == before
+    assert log.retain(r.last_lsn) > 0 and 0 < log.read().count() < before
+    s.query("MATCH (x:N {n: 'a'}) SET x.v = 5")
+    r.follow(log.path, checkpoint).awaitTermination()
+    assert state(GraphSession(r.store)) == [("a", 5), ("b", 9)]
+
+
+def test_flush(spark):
+    s, path = _logged(spark), new_path(spark, "flushed")
+    assert s.flush(path) == 1 and state(GraphSession(files.load(spark, path)[0])) == state(s)
+
+
 def test_numbers_are_not_used_again(spark):
     s = _logged(spark)
     log = ChangeLog(spark, s.store.log.path, s.store.graph_id)
