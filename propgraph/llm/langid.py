@@ -33,6 +33,8 @@ from .common import held, small_batches
 DOCS_PER_LANG, CHARS_PER_DOC = 60, 1200
 #: Texts that are learned from in all, one for each language at least.
 MOST_DOCS = 60_000
+#: Sets of tasks whose smallest hashes are found apart before those of a whole language are.
+PARTS = 32
 #: At level 11 zstandard matches the dictionary well enough to tell short texts apart.
 LEVEL = 11
 #: Bytes that are encoded at a time: a dictionary says little about the end of a long block.
@@ -60,9 +62,12 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", docs_per_lang:
     texts = held(hashed.groupBy("lang", "h").agg(F.count("*").alias("n")))
     counts = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     each = max(1, min(docs_per_lang, MOST_DOCS // max(1, len(counts))))
-    # the limit of the window is applied in each task first: no language is one task's work
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = texts.select("lang", "h", place.alias("place")).filter(F.col("place") <= each).select("lang", "h")
+    # the smallest hashes of each task, of each of ``PARTS`` sets of tasks, of each language: no language is one task's work
+    parts = texts.select("lang", "h", (F.spark_partition_id() % PARTS).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        parts = parts.withColumn("place", place).filter(F.col("place") <= each).drop("place")
+    chosen = parts.select("lang", "h")
     start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - chars_per_doc + 1)) + 1
     span = F.substring("text", start.cast("int"), F.lit(chars_per_doc))
     kept = hashed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(span).alias("text"))  # MOST_DOCS rows, or one a language
