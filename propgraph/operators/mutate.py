@@ -1,8 +1,8 @@
 """Writes: CREATE, SET and DELETE as changes that are laid over an immutable graph.
 
-A statement's rows are written before it changes anything, so that it never sees its own writes while it matches, and
-each change is a table of its own (ids and values). A change can be laid over any version of the graph, be checked
-for conflicts by its ids, and be logged.
+A statement's rows are written, and numbered, before it changes anything, so that it never sees its own writes while it
+matches; all that it creates for them are columns of that one table. Each change is a table of its own (ids and
+values). A change can be laid over any version of the graph, be checked for conflicts by its ids, and be logged.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from ..errors import AnalysisError
 from ..functions.expr import Compiler, Typed
 from ..plans import ast as A
 from ..sources.catalog import EDGE_COLUMNS, NODE_COLUMNS, NONE, SPARK, TAG_BITS, PropertyGraph, Table, common_kind, kind_of
-from ..sources.shared import numbered, written
+from ..sources.shared import counted, written
 from .compiler import Binding, Bindings, Planner
 
 #: Created nodes and edges are numbered from here; keys of loaded tables lie below.
@@ -109,6 +109,8 @@ class Writer:
         self.graph, self.allocate = graph, allocate
         self.planner = Planner(graph, statement)
         self.statement, self.changes = statement, []
+        #: Rows of the bindings, while they are those that the last write had; their numbers are the column <n>.
+        self.rows: int | None = None
 
     def run(self) -> tuple[DataFrame, int | None]:
         """The statement's result, and the number of rows it wrote for (None if it wrote nothing)."""
@@ -116,6 +118,8 @@ class Writer:
         while k < len(steps):
             step = steps[k]
             k += 1
+            if isinstance(step, (A.Match, A.Where)):
+                self.rows = None
             if isinstance(step, A.Match):
                 where = []
                 while k < len(steps) and isinstance(steps[k], A.Where):
@@ -128,15 +132,19 @@ class Writer:
                 s = self.planner.filter(s, *A.conjuncts(step.condition))
             else:
                 s = self.write(s, step)
-        n = s.df.count() if self.changes else None
+        n = None
+        if self.changes:
+            n = s.df.count() if self.rows is None else self.rows
         return self.planner.finish(s), n
 
     def write(self, s: Bindings, step: A.Create | A.Set | A.Delete) -> Bindings:
         if s.df is None:
             if not isinstance(step, A.Create):
                 raise AnalysisError("SET and DELETE need a MATCH before them")
-            s = replace(s, df=self.graph.spark.range(1).select(F.lit(True).alias("<one>")))
-        s = replace(s, df=written(s.df, "bindings"))
+            s, self.rows = replace(s, df=self.graph.spark.range(1).select(F.lit(0).cast("long").alias("<n>"))), 1
+        if self.rows is None:
+            df, self.rows = counted(s.df.drop("<n>"), "bindings", "<n>")
+            s = replace(s, df=df)
         if isinstance(step, A.Create):
             for path in step.paths:
                 s = self.create(s, path)
@@ -167,15 +175,14 @@ class Writer:
         label = label or NONE
         values = self.values(s, properties)
         self.graph, tag = self.graph.tag(kind, label)
-        rows = numbered(s.df, "created", "<n>")
-        first = self.allocate(rows.count())
+        first = self.allocate(self.rows)
         b = Binding(kind, self.planner.prefix(), (label,), tuple(values))
         own_id = (F.lit((tag << TAG_BITS) | (CREATED + first)) + F.col("<n>")).alias(f"{b.prefix}#id")
         extra = [own_id, F.lit(label or None).cast("string").alias(f"{b.prefix}#label")]
         if ends:
             extra += [ends[0].id.alias(f"{b.prefix}#src"), ends[1].id.alias(f"{b.prefix}#dst")]
         extra += [x.col.cast(SPARK[x.kind]).alias(f"{b.prefix}.{k}") for k, x in values.items()]
-        df = written(rows.select(*(F.col(f"`{c}`") for c in rows.columns if c != "<n>"), *extra), "bindings")
+        df = s.df.select("*", *extra)
         fixed = NODE_COLUMNS if kind == "node" else EDGE_COLUMNS
         new = df.select(*(b.col(c[1:]).alias(c) for c in fixed), *(b.prop(k).alias(k) for k in values))
         pairs = frozenset((x, y) for x in ends[0].labels for y in ends[1].labels) if ends else frozenset()

@@ -31,13 +31,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str, out: str) -> DataFrame:
-    """``df``, written, with ``out``: numbers from 0 without gaps. The driver gets a row for each partition."""
+def counted(df: DataFrame, name: str, out: str) -> tuple[DataFrame, int]:
+    """``df``, written, with ``out``: numbers from 0 without gaps; and how many rows it has.
+
+    The driver gets a row for each partition; the numbers of the partitions' first rows are a constant of the plan, so
+    that reading the result takes no join.
+    """
     pid, idx = "__pid", "__idx"
     rows = written(df.withColumn(pid, F.spark_partition_id()).withColumn(idx, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), name)
-    before, offsets = 0, []
-    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(pid).count().collect()):
-        offsets.append((p, before))
-        before += n
-    small = df.sparkSession.createDataFrame(offsets, f"{pid} int, __before long")
-    return rows.join(F.broadcast(small), pid).withColumn(out, F.col("__before") + F.col(idx)).drop(pid, idx, "__before")
+    sizes = {r[0]: r[1] for r in rows.groupBy(pid).count().collect()}
+    before, first = 0, []
+    for p in range(max(sizes, default=0) + 1):
+        first.append(str(before))
+        before += sizes.get(p, 0)
+    offset = F.element_at(F.split(F.lit(",".join(first)), ",").cast("array<bigint>"), F.col(pid) + 1)
+    return rows.withColumn(out, offset + F.col(idx)).drop(pid, idx), before
+
+
+def numbered(df: DataFrame, name: str, out: str) -> DataFrame:
+    """``df``, written, with ``out``: numbers from 0 without gaps."""
+    return counted(df, name, out)[0]

@@ -88,7 +88,20 @@ def test_commands(session):
     assert session.query("SHOW REPLICAS;").columns == ["id", "state", "lag_bytes", "acked_lsn"]
     assert session.query("SHOW REPLICATION LAG").count() == 0
     assert session.query("SHOW SHARD STATUS").count() == 4
-    assert session.query("PROMOTE REPLICA").first()[0] == "not a replica server"
+    assert session.query("PROMOTE REPLICA").first()[0] == "this is the primary already"
+
+
+def test_created_ids(session):
+    """What a statement creates for its rows has ids of its own, row by row, also after another write of the statement."""
+    before = set(r[0] for r in session.query("MATCH (x:N) RETURN id(x)").collect())
+    out = session.query("MATCH (x:N) CREATE (y:M {of: x.n})-[:R]->(z:M {of: x.n}) SET x.v = 7 CREATE (w:M {of: x.n})")
+    assert out.rows_affected == 2
+    rows = session.query("MATCH (m:M) RETURN id(m) AS i, m.of AS n").collect()
+    assert len({r["i"] for r in rows} | before) == 8 and sorted(r["n"] for r in rows) == ["a"] * 3 + ["b"] * 3
+    assert sorted(map(tuple, session.query("MATCH (y:M)-[:R]->(z:M) RETURN y.of, z.of").collect())) == [("a", "a"), ("b", "b")]
+    assert state(session) == [("a", 7), ("b", 7)]
+    assert session.query("MATCH (x:N) WHERE x.n = 'none' CREATE (y:Empty {k: 1})").rows_affected == 0
+    assert session.query("MATCH (y:Empty) RETURN y.k").count() == 0
 
 
 def test_files(spark, session):
