@@ -221,7 +221,7 @@ class Writer:
             return s
         value: Column = x.col.cast(SPARK[kind])
         df = s.df.withColumn(f"{b.prefix}.{item.name}", value)
-        s = replace(s, df=written(df, "bindings"), kinds={**s.kinds, (item.variable, item.name): kind})
+        s = replace(s, df=df, kinds={**s.kinds, (item.variable, item.name): kind})
         b = replace(b, names=tuple(dict.fromkeys([*b.names, item.name])))
         # an id that several rows set gets the last one's value, rows being in the order of the ids that they bind: the
         # same on each run. It is in a struct, which is not null where the value is
