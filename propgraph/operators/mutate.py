@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from ..errors import AnalysisError
 from ..functions.expr import Compiler, Typed
 from ..plans import ast as A
-from ..sources.catalog import EDGE_COLUMNS, NODE_COLUMNS, NONE, SPARK, TAG_BITS, PropertyGraph, Table, common_kind, kind_of
+from ..sources.catalog import CREATED, EDGE_COLUMNS, NODE_COLUMNS, NONE, SPARK, TAG_BITS, PropertyGraph, Table, common_kind, kind_of
 from ..sources.shared import counted, written
 from .compiler import Binding, Bindings, Planner
 
-#: Created nodes and edges are numbered from here; keys of loaded tables lie below.
-CREATED = 1 << 48
 #: A table with so many changes on it is written anew.
 DEEP = 8
 

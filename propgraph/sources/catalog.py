@@ -19,6 +19,8 @@ NODE_COLUMNS, EDGE_COLUMNS = ("_id",), ("_id", "_src", "_dst")
 NONE = ""
 #: Ids are a label's tag and a number below 2**56; tags start at 1, so that no id is 0.
 TAG_BITS, MAX_TAG = 56, 127
+#: Created nodes and edges are numbered from here; keys of loaded tables lie below.
+CREATED = 255 << 48
 
 
 def kind_of(t: T.DataType) -> str:
@@ -52,8 +54,11 @@ def common_kind(kinds: Iterable[str], what: str) -> str:
 
 
 def packed_id(tag: int, key: Column | str) -> Column:
-    number = F.col(key) if isinstance(key, str) else key
-    return number.cast("bigint").bitwiseOR(F.lit(tag << TAG_BITS))
+    """The id of a loaded row. A key that would run into the tag or the created ones stops the job that reads it; a
+    null one gives null."""
+    number = (F.col(key) if isinstance(key, str) else key).cast("bigint")
+    wrong = F.raise_error(F.concat(F.lit("a key of a node or edge is negative or too large: "), number.cast("string")))
+    return F.when((number < 0) | (number >= CREATED), wrong).otherwise(number.bitwiseOR(F.lit(tag << TAG_BITS)))
 
 
 @dataclass(frozen=True)

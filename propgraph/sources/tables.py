@@ -9,6 +9,8 @@ from .catalog import PropertyGraph
 
 #: Lines of an order; keys of line edges are the order's key times this, plus the line's place.
 LINES = 32
+#: Keys of edges between parts are the first's times this, plus the second's: there is room for 267 million parts.
+PARTS = 1 << 28
 
 
 def line_edges(lineitem: DataFrame) -> DataFrame:
@@ -60,6 +62,6 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     lines = line_edges(t("lineitem"))
     edges("HAS_PART", lines, ("SalesOrder", "l_orderkey"), ("Part", "l_partkey"), "key", qty="l_quantity", price="l_extendedprice", discount="l_discount", flag="l_returnflag")
     edges("FROM_SUPPLIER", lines, ("SalesOrder", "l_orderkey"), ("Supplier", "l_suppkey"), "key", qty="l_quantity")
-    edges("NEXT_PART", next_parts(t("lineitem")), ("Part", "a"), ("Part", "b"), "a * 1073741824 + b")
+    edges("NEXT_PART", next_parts(t("lineitem")), ("Part", "a"), ("Part", "b"), f"a * {PARTS} + b")
     edges("PERFORMED", t("events"), ("User", "user_id"), ("Event", "event_id"), "event_id")
     return g

@@ -1,6 +1,7 @@
 """Transactions, files, change logs, commands and the shell."""
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from propgraph import ConflictError, CorruptLogError, GraphError, GraphSession, GraphStore, PropertyGraph, ReadOnlyError
@@ -230,3 +231,18 @@ def test_shell(spark, capsys):
     repl(s, ["CREATE (a:N {n: 'x'})\n", ";\n", "MATCH (a:N) RETURN a.n AS name;\n", "BROKEN;\n", "\\status\n", "\\help\n", "\\quit\n", "never;\n"])
     out = capsys.readouterr().out
     assert "OK (1 rows affected)" in out and "|x   |" in out and "error:" in out and "primary" in out and "never" not in out
+
+
+@pytest.mark.parametrize("key", [-1, 255 << 48, 1 << 60])
+def test_keys_that_ids_have_no_room_for(spark, key):
+    g = PropertyGraph(spark).add_nodes("P", spark.createDataFrame([(1,), (key,), (None,)], "k long"), "k")
+    with pytest.raises(PySparkException, match="negative or too large"):
+        GraphSession(g).query("MATCH (p:P) RETURN id(p) AS i").collect()
+
+
+def test_loaded_and_created_ids_differ(spark):
+    most = (255 << 48) - 1
+    s = GraphSession(PropertyGraph(spark).add_nodes("P", spark.createDataFrame([(0,), (1 << 48,), (most,)], "k long"), "k"))
+    s.query("CREATE (a:P), (b:P)")
+    ids = [r[0] for r in s.query("MATCH (p:P) RETURN id(p) AS i").collect()]
+    assert len(set(ids)) == 5 and all(i >> 56 == 1 for i in ids)
