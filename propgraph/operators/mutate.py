@@ -84,7 +84,7 @@ class Remove:
     def over(self, g: PropertyGraph) -> PropertyGraph:
         for label in self.labels:
             if t := g.tables(self.kind).get(label):
-                g = g.with_table(self.kind, label, replace(t, df=t.df.join(self.df, "_id", "left_anti"), depth=t.depth + 1))
+                g = g.with_table(self.kind, label, replace(t, source=t.df.join(self.df, "_id", "left_anti"), depth=t.depth + 1))
         return replace(g, whole=False) if self.kind == "node" else g
 
 
@@ -96,7 +96,7 @@ def compacted(g: PropertyGraph) -> PropertyGraph:
     for kind in ("node", "edge"):
         for label, t in g.tables(kind).items():
             if t.depth >= DEEP:
-                g = g.with_table(kind, label, replace(t, df=written(t.df, "graph"), depth=0))
+                g = g.with_table(kind, label, replace(t, source=written(t.df, "graph"), depth=0))
     return g
 
 

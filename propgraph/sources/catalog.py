@@ -6,8 +6,9 @@ immutable; writes give a new one. The label ``""`` stands for nodes, or edges, w
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ def packed_id(tag: int, key: Column | str) -> Column:
 class Table:
     """The nodes of a label, or the edges of a type."""
 
-    df: DataFrame
+    #: The rows, or what gives them when a statement first reads the table.
+    source: DataFrame | Callable[[], DataFrame]
     #: Properties that no row lacks; conditions on them need no care for nulls, and are pushed to the scan.
     required: frozenset[str] = frozenset()
     #: Of edges: labels of (source, target) that occur, if known.
@@ -73,6 +75,10 @@ class Table:
     #: Writes that have been laid over the stored table.
     depth: int = 0
 
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source if isinstance(self.source, DataFrame) else self.source()
+
     def properties(self) -> dict[str, str]:
         return {f.name: kind_of(f.dataType) for f in self.df.schema.fields if f.name not in EDGE_COLUMNS}
 
@@ -143,20 +149,29 @@ class PropertyGraph:
             return replace(self, nodes={**self.nodes, label: t})
         return replace(self, edges={**self.edges, label: t})
 
-    def add_nodes(self, label: str, df: DataFrame, key: str, required: Iterable[str] = ()) -> PropertyGraph:
-        """A table of nodes, whose ids are made of the integer column ``key``."""
+    def add_nodes(self, label: str, df: DataFrame | Callable[[], DataFrame], key: str, required: Iterable[str] = ()) -> PropertyGraph:
+        """A table of nodes, whose ids are made of the integer column ``key``; ``df`` may be a function that gives it."""
         g, tag = self.tag("node", label)
-        names = [c for c in df.columns if c != key]
-        return g.with_table("node", label, Table(df.select(packed_id(tag, key).alias("_id"), *names), frozenset(required)))
 
-    def add_edges(self, label: str, df: DataFrame, source: tuple[str, str], target: tuple[str, str], key: str, required: Iterable[str] = ()) -> PropertyGraph:
+        def rows() -> DataFrame:
+            own = Table(df).df
+            return own.select(packed_id(tag, key).alias("_id"), *(c for c in own.columns if c != key))
+
+        return g.with_table("node", label, Table(rows, frozenset(required)))
+
+    def add_edges(self, label: str, df: DataFrame | Callable[[], DataFrame], source: tuple[str, str], target: tuple[str, str], key: str, required: Iterable[str] = ()) -> PropertyGraph:
         """A table of edges; ``source`` and ``target`` are (label, column with its key). Adds to a type that is there."""
         g, tag = self.tag("edge", label)
-        ids = [packed_id(tag, key).alias("_id"), *(packed_id(g.tags["node", x], c).alias(out) for (x, c), out in ((source, "_src"), (target, "_dst")))]
-        names = [c for c in df.columns if c not in (key, source[1], target[1])]
-        new = df.select(*ids, *names)
+        tags = [g.tags["node", x] for x, _ in (source, target)]
+
+        def rows() -> DataFrame:
+            own = Table(df).df
+            ids = [packed_id(t, c).alias(out) for t, c, out in ((tag, key, "_id"), (tags[0], source[1], "_src"), (tags[1], target[1], "_dst"))]
+            return own.select(*ids, *(c for c in own.columns if c not in (key, source[1], target[1])))
+
         ends = frozenset({(source[0], target[0])})
         if label in g.edges:
             old = g.edges[label]
-            return g.with_table("edge", label, Table(old.df.unionByName(new, allowMissingColumns=True), old.required & frozenset(required), None if old.ends is None else old.ends | ends))
-        return g.with_table("edge", label, Table(new, frozenset(required), ends))
+            both = Table(lambda: old.df.unionByName(rows(), allowMissingColumns=True), old.required & frozenset(required), None if old.ends is None else old.ends | ends)
+            return g.with_table("edge", label, both)
+        return g.with_table("edge", label, Table(rows, frozenset(required), ends))

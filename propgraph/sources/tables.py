@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +30,9 @@ def next_parts(lineitem: DataFrame) -> DataFrame:
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """The graph of the tables in ``sf_dir``. Nothing runs before a query does; each query reads the columns it needs."""
+    """The graph of the tables in ``sf_dir``. A table is opened when a query first reads it, for the columns it needs."""
 
+    @cache
     def t(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,31 +41,30 @@ def star_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 
     g = PropertyGraph(spark)
 
-    def nodes(label: str, df: DataFrame, **names: str) -> None:
+    def nodes(label: str, df: Callable[[], DataFrame], **names: str) -> None:
         nonlocal g
         key = names["key"]
-        g = g.add_nodes(label, cols(df, _key=key, key=f"bigint({key})", **{k: v for k, v in names.items() if k != "key"}), "_key", ["key", *names])
+        g = g.add_nodes(label, lambda: cols(df(), _key=key, key=f"bigint({key})", **{k: v for k, v in names.items() if k != "key"}), "_key", ["key", *names])
 
-    def edges(label: str, df: DataFrame, source: tuple[str, str], target: tuple[str, str], key: str, **names: str) -> None:
+    def edges(label: str, df: Callable[[], DataFrame], source: tuple[str, str], target: tuple[str, str], key: str, **names: str) -> None:
         nonlocal g
-        g = g.add_edges(label, cols(df, _key=key, _from=source[1], _to=target[1], **names), (source[0], "_from"), (target[0], "_to"), "_key", names)
-
-    nodes("Region", t("region"), key="r_regionkey", name="r_name")
-    nodes("Nation", t("nation"), key="n_nationkey", name="n_name")
-    nodes("Customer", t("customer"), key="c_custkey", name="c_name", acctbal="c_acctbal", segment="c_mktsegment")
-    nodes("Supplier", t("supplier"), key="s_suppkey", name="s_name", acctbal="s_acctbal")
-    nodes("Part", t("part"), key="p_partkey", name="p_name", brand="p_brand", ptype="p_type", size="p_size", price="p_retailprice")
-    nodes("SalesOrder", t("orders"), key="o_orderkey", status="o_orderstatus", totalprice="o_totalprice", priority="o_orderpriority", odate="string(o_orderdate)")
-    nodes("User", t("events").select("user_id").distinct(), key="user_id")
-    nodes("Event", t("events"), key="event_id", etype="event_type", value="value", ts="string(ts)")
-    edges("IN_REGION", t("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "n_nationkey")
-    edges("IN_NATION", t("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "c_custkey * 2")
-    edges("IN_NATION", t("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "s_suppkey * 2 + 1")
-    edges("PLACED", t("orders"), ("Customer", "o_custkey"), ("SalesOrder", "o_orderkey"), "o_orderkey")
+        g = g.add_edges(label, lambda: cols(df(), _key=key, _from=source[1], _to=target[1], **names), (source[0], "_from"), (target[0], "_to"), "_key", names)
+
+    nodes("Region", lambda: t("region"), key="r_regionkey", name="r_name")
+    nodes("Nation", lambda: t("nation"), key="n_nationkey", name="n_name")
+    nodes("Customer", lambda: t("customer"), key="c_custkey", name="c_name", acctbal="c_acctbal", segment="c_mktsegment")
+    nodes("Supplier", lambda: t("supplier"), key="s_suppkey", name="s_name", acctbal="s_acctbal")
+    nodes("Part", lambda: t("part"), key="p_partkey", name="p_name", brand="p_brand", ptype="p_type", size="p_size", price="p_retailprice")
+    nodes("SalesOrder", lambda: t("orders"), key="o_orderkey", status="o_orderstatus", totalprice="o_totalprice", priority="o_orderpriority", odate="string(o_orderdate)")
+    nodes("User", lambda: t("events").select("user_id").distinct(), key="user_id")
+    nodes("Event", lambda: t("events"), key="event_id", etype="event_type", value="value", ts="string(ts)")
+    edges("IN_REGION", lambda: t("nation"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "n_nationkey")
+    edges("IN_NATION", lambda: t("customer"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "c_custkey * 2")
+    edges("IN_NATION", lambda: t("supplier"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "s_suppkey * 2 + 1")
+    edges("PLACED", lambda: t("orders"), ("Customer", "o_custkey"), ("SalesOrder", "o_orderkey"), "o_orderkey")
     # edges whose keys no query reads cost no window: columns that are not asked for are pruned
-    lines = line_edges(t("lineitem"))
-    edges("HAS_PART", lines, ("SalesOrder", "l_orderkey"), ("Part", "l_partkey"), "key", qty="l_quantity", price="l_extendedprice", discount="l_discount", flag="l_returnflag")
-    edges("FROM_SUPPLIER", lines, ("SalesOrder", "l_orderkey"), ("Supplier", "l_suppkey"), "key", qty="l_quantity")
-    edges("NEXT_PART", next_parts(t("lineitem")), ("Part", "a"), ("Part", "b"), f"a * {PARTS} + b")
-    edges("PERFORMED", t("events"), ("User", "user_id"), ("Event", "event_id"), "event_id")
+    edges("HAS_PART", lambda: line_edges(t("lineitem")), ("SalesOrder", "l_orderkey"), ("Part", "l_partkey"), "key", qty="l_quantity", price="l_extendedprice", discount="l_discount", flag="l_returnflag")
+    edges("FROM_SUPPLIER", lambda: line_edges(t("lineitem")), ("SalesOrder", "l_orderkey"), ("Supplier", "l_suppkey"), "key", qty="l_quantity")
+    edges("NEXT_PART", lambda: next_parts(t("lineitem")), ("Part", "a"), ("Part", "b"), f"a * {PARTS} + b")
+    edges("PERFORMED", lambda: t("events"), ("User", "user_id"), ("Event", "event_id"), "event_id")
     return g
