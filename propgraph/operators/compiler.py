@@ -18,6 +18,7 @@ from ..errors import AnalysisError
 from ..functions.expr import Compiler, Typed, aggregate, is_aggregate, null
 from ..plans import ast as A
 from ..sources.catalog import PropertyGraph
+from ..sources.shared import written
 from .varpath import reach
 
 
@@ -277,13 +278,26 @@ class Planner:
             # edges lead on from nodes that are there
             edges = edges.join(self.graph.scan("node", tuple(self.graph.nodes), ()).select(F.col("_id").alias("near")), "near", "left_semi")
         x = self.prefix()
-        found = reach(s.df.select(a.id.alias("root")), edges, e.hops).select(F.col("root").alias(f"{x}#root"), F.col("node").alias(f"{x}#far"))
-        s = replace(s, df=s.df.join(found, a.id == F.col(f"`{x}#root`")).drop(f"{x}#root"))
-        s = self.arrive(s, f"{x}#far", far, p, None)
+        roots = written(s.df.groupBy(a.id.alias("root")).agg(F.count(F.lit(1)).alias("rows")), "paths")
+        rows = roots.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        found = reach(roots.select("root"), edges, e.hops)
+        s = replace(s, df=found.join(s.df, f"{a.prefix}#id", f"{x}#far", rows))
+        s = self.arrive(s, f"{x}#far", far, p, self.reached_labels(types, e, a.labels), found.few)
         return replace(s, df=s.df.drop(f"{x}#far"))
 
-    def arrive(self, s: Bindings, at: str, far: str, p: A.NodePattern, possible: tuple[str, ...] | None) -> Bindings:
-        """Binds the node whose id is in the column ``at``."""
+    def reached_labels(self, types: tuple[str, ...], e: A.EdgePattern, near: tuple[str, ...]) -> tuple[str, ...] | None:
+        """Labels of the nodes that paths can end at; None if that is not known."""
+        out: tuple[str, ...] = ()
+        while True:
+            more = self.far_labels(types, e.direction, (*near, *out))
+            if more is None:
+                return None
+            if set(more) <= set(out):
+                return tuple(dict.fromkeys((*near, *out))) if e.hops.least == 0 else out
+            out = more
+
+    def arrive(self, s: Bindings, at: str, far: str, p: A.NodePattern, possible: tuple[str, ...] | None, few: DataFrame | None = None) -> Bindings:
+        """Binds the node whose id is in the column ``at``: one of ``few`` (node), if these are known."""
         if far in s.variables:
             s = replace(s, df=s.df.filter(F.col(f"`{at}`") == s.variables[far].id))
             return self.narrow(s, far, p)
@@ -291,16 +305,20 @@ class Planner:
         if possible is not None:
             labels = tuple(x for x in labels if x in possible)
         b = self.bind("node", p.variable, labels, (k for k, _ in p.properties))
+
+        def nodes() -> DataFrame:
+            return self.table(b) if few is None else F.broadcast(self.table(b).join(few, b.id == few["node"], "left_semi"))
+
         if self.graph.whole and possible is not None and set(possible) <= set(labels) and not b.names and len(labels) <= 1:
             # the edges' ends say all there is to know: no join
             label = F.lit((labels[0] or None) if labels else None).cast("string")
             df = s.df.withColumn(f"{b.prefix}#id", F.col(f"`{at}`")).withColumn(f"{b.prefix}#label", label)
         elif self.graph.whole or p.label is not None:
-            df = s.df.join(self.table(b), F.col(f"`{at}`") == b.id)
+            df = s.df.join(nodes(), F.col(f"`{at}`") == b.id)
         else:
             b = replace(b, dangling=True)
-            nodes = self.table(b).withColumn(f"{b.prefix}#live", F.lit(True))
-            df = s.df.join(nodes, F.col(f"`{at}`") == b.id, "left")
+            live = nodes().withColumn(f"{b.prefix}#live", F.lit(True))
+            df = s.df.join(live, F.col(f"`{at}`") == b.id, "left")
             df = df.withColumn(f"{b.prefix}#live", F.coalesce(b.col("live"), F.lit(False))).withColumn(f"{b.prefix}#id", F.col(f"`{at}`"))
         s = replace(s, df=df, variables={**s.variables, far: b})
         self.waiting += self.equalities(far, p.properties)

@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__
 from propgraph import GraphSession, suite
+from propgraph.operators import compiler, varpath
+from propgraph.sources import shared
 from propgraph.sources.tables import next_parts, star_graph
 
 DATA = "/root/testdata/sf0.001"
@@ -97,3 +99,70 @@ def test_paths_start_from_every_part(spark, name, least, most):
         expected |= {(root, k) for k, d in depth.items() if least <= d}
     got = [tuple(r) for r in suite.queries()[name](spark, DATA).select("a", "b").collect()]
     assert len(got) == len(expected) and set(got) == expected
+
+
+def _least_depths(edges, root, most):
+    depth, level = {root: 0}, [root]
+    for d in range(1, most + 1):
+        level = {b for a in level for b in edges.get(a, ())} - depth.keys()
+        depth.update(dict.fromkeys(level, d))
+    return depth
+
+
+@pytest.mark.parametrize("name", ["var_min2"])
+def test_open_paths_keep_no_pairs(spark, monkeypatch, name):
+    """Before they are read, paths have cost tables of roots and edges, none of the pairs; no pair is shuffled."""
+    tables = []
+    for module in (varpath, compiler):
+        monkeypatch.setattr(module, "written", lambda df, to, f=shared.written: tables.append(f(df, to)) or tables[-1])
+    df = suite.queries()[name](spark, DATA)
+    parts = spark.read.parquet(f"{DATA}/part.parquet").count()
+    most = max(parts, next_parts(spark.read.parquet(f"{DATA}/lineitem.parquet")).count())
+    assert df.count() > 10 * most and all(t.count() <= most for t in tables)
+    assert "SortMergeJoin" not in plan(df)
+
+
+@pytest.mark.parametrize("limits", [{"EDGES": -1}, {"ROWS": 0}])
+@pytest.mark.parametrize("text", ["MATCH (a:Part)-[:NEXT_PART*0..]->(b) RETURN a.key AS a, b.key AS b", "MATCH (a:Part)-[:NEXT_PART*2..4]-(b:Part) RETURN a.key AS a, b.key AS b"])
+def test_paths_beyond_what_is_broadcast(star, monkeypatch, text, limits):
+    expected = sorted(map(tuple, star.query(text).collect()))
+    for name, value in limits.items():
+        monkeypatch.setattr(varpath, name, value)
+    assert sorted(map(tuple, star.query(text).collect())) == expected
+
+
+def test_paths_lead_on_to_other_patterns(star):
+    """Pairs have no estimate of their size, so that no join broadcasts them; a start that is bound twice counts twice."""
+    df = star.query("MATCH (a:Part)-[:NEXT_PART*]->(b)<-[:HAS_PART]-(o) RETURN a.key AS a, b.key AS b, o.key AS o")
+    pairs = star.query("MATCH (a:Part)-[:NEXT_PART*]->(b) RETURN a.key AS a, b.key AS b")
+    lines = star.query("MATCH (o:SalesOrder)-[:HAS_PART]->(b:Part) RETURN b.key AS b, o.key AS o")
+    assert df.count() == pairs.join(lines, "b").count()
+    one = "MATCH (o:SalesOrder {key: 1})-[:HAS_PART]->(a:Part)-[:NEXT_PART*1..2]->(b) RETURN o.key AS o, a.key AS a, b.key AS b"
+    starts = lines.filter("o = 1").withColumnRenamed("b", "a")
+    near = star.query("MATCH (a:Part)-[:NEXT_PART*1..2]->(b) RETURN a.key AS a, b.key AS b")
+    assert sorted(map(tuple, star.query(one).collect())) == sorted(map(tuple, starts.join(near, "a").select("o", "a", "b").collect()))
+
+
+@pytest.mark.parametrize(("least", "most"), [(0, 0), (0, 3), (1, 20), (2, 2), (2, 20), (5, 9)])
+@pytest.mark.parametrize("small", [False, True])
+def test_sweep_against_single_searches(monkeypatch, least, most, small):
+    """Random graphs with loops, long chains, a hub and roots without edges, in one turn and in many."""
+    np = pytest.importorskip("numpy")
+    if small:
+        for name, value in (("WORDS", 1), ("NODES", 3), ("BATCH", 10)):
+            monkeypatch.setattr(varpath, name, value)
+    rng = np.random.default_rng(7)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 120, (160, 2)) * 3 + 5}
+    pairs |= {(1000 + k, 1001 + k) for k in range(30)} | {(5, 400 + k) for k in range(40)} | {(8, 8)}
+    edges = {}
+    for a, b in pairs:
+        edges.setdefault(a, set()).add(b)
+    ids = np.array(sorted({x for p in pairs for x in p}), "int64")
+    first = np.cumsum([0] + [len(edges.get(x, ())) for x in ids.tolist()]).astype("int32")
+    far = np.array([np.searchsorted(ids, y) for x in ids.tolist() for y in edges.get(x, ())], "int32")
+    roots = np.concatenate([ids, [2, 5000]])
+    got = [(r, x) for t in varpath.sweep(ids, first, far, roots, least, most) for r, xs in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) for x in xs]
+    expected = {(r, x) for r in roots.tolist() for x, d in _least_depths(edges, r, most).items() if least <= d}
+    assert len(got) == len(expected) and set(got) == expected
+    none = np.zeros(0, "int64")
+    assert sum(t.num_rows for t in varpath.sweep(none, np.zeros(1, "int32"), none.astype("int32"), roots, least, most)) == (len(roots) if least == 0 else 0)
