@@ -109,7 +109,7 @@ def _least_depths(edges, root, most):
     return depth
 
 
-@pytest.mark.parametrize("name", ["var_min2"])
+@pytest.mark.parametrize("name", ["var_min2", "var_open"])
 def test_open_paths_keep_no_pairs(spark, monkeypatch, name):
     """Before they are read, paths have cost tables of roots and edges, none of the pairs; no pair is shuffled."""
     tables = []
