@@ -311,14 +311,18 @@ def is_aggregate(e: A.Expr) -> bool:
     return isinstance(e, A.Call) and e.name.lower() in AGGREGATES
 
 
-def aggregate(e: A.Call, scope: Scope) -> Column:
-    """A global aggregate. Values that are no numbers, or fail, do not count for sums, means and extremes."""
+def aggregate(e: A.Call, scope: Scope, times: Column | None = None) -> Column:
+    """A global aggregate. Values that are no numbers, or fail, do not count for sums, means and extremes.
+
+    ``times`` is how often each row counts, for COUNT.
+    """
+    count = F.count if times is None else lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), times)), F.lit(0).cast("long"))
     name = e.name.lower()
     if name == "count":
         if e.star or not e.args:
-            return F.count(F.lit(1))
+            return count(F.lit(1))
         x = Compiler(scope, tolerant=True).value(e.args[0])
-        return F.count(x.fields["id"] if x.fields else x.col) if x.nullable else F.count(F.lit(1))
+        return count(x.fields["id"] if x.fields else x.col) if x.nullable else count(F.lit(1))
     x = Compiler(scope, tolerant=True).value(e.args[0]) if e.args else null()
     number = x.col.cast("double") if x.kind in NUMBERS else F.lit(None).cast("double")
     return _NUMERIC[name](number)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from itertools import dropwhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,10 @@ from ..sources.shared import written
 from .varpath import reach
 
 
+#: How many equal bindings a row stands for.
+TIMES = "<times>"
+
+
 @dataclass(frozen=True)
 class Binding:
     """A variable: the prefix of its columns, and the labels that it can have."""
@@ -83,6 +88,8 @@ class Bindings:
     variables: dict[str, Binding] = field(default_factory=dict)
     #: Properties that a SET gave a kind of its own: (variable, name) -> kind
     kinds: dict[tuple[str, str], str] = field(default_factory=dict)
+    #: Whether a row stands for as many as its column TIMES says.
+    merged: bool = False
 
     def binding(self, name: str) -> Binding:
         if name not in self.variables:
@@ -111,6 +118,10 @@ class Planner:
         self.counter = 0
         #: Conjuncts of WHERE that wait until all of their variables are bound.
         self.waiting: list[A.Expr] = []
+        #: Patterns and clauses after the path that is being matched.
+        self.ahead: list = []
+        returns = () if statement.writes or statement.order or statement.skip or statement.limit is not None else statement.returns or ()
+        self.counts = bool(returns) and all(isinstance(r.expr, A.Call) and r.expr.name.lower() == "count" for r in returns)
 
     # -- names and tables
 
@@ -164,7 +175,10 @@ class Planner:
 
     def match(self, s: Bindings, clause: A.Match, where: list[A.Expr]) -> Bindings:
         self.waiting += where
-        for path in clause.paths:
+        after = self.statement.steps[next(k for k, x in enumerate(self.statement.steps) if x is clause) + 1 :]
+        after = list(dropwhile(lambda x: isinstance(x, A.Where), after))
+        for k, path in enumerate(clause.paths):
+            self.ahead = [clause.paths[k + 1 :], after]
             s = self.path(s, path)
         if self.waiting:
             missing = sorted(set().union(*map(A.variables, self.waiting)) - set(s.variables))
@@ -177,25 +191,49 @@ class Planner:
         if known is None and s.df is None and self.on_edges(path):
             s = self.first_hop(s, names[0], path.nodes[0], path.edges[0], names[1], path.nodes[1])
             for k in range(1, len(path.edges)):
+                s = self.merge(s, names[k], (path.edges[k:], path.nodes[k + 1 :]))
                 s = self.hop(s, names[k], path.edges[k], names[k + 1], path.nodes[k + 1])
             return s
         if known is None:
             own = self.start(Bindings(self.graph), names[0], path.nodes[0])
-            s = own if s.df is None else replace(own, df=s.df.crossJoin(own.df), variables={**s.variables, **own.variables}, kinds=s.kinds)
+            s = own if s.df is None else replace(s, df=s.df.crossJoin(own.df), variables={**s.variables, **own.variables})
             s = self.settle(s)
             known = 0
         else:
             if s.variables[names[known]].kind != "node":
                 raise AnalysisError(f"the variable {names[known]} is an edge")
             s = self.narrow(s, names[known], path.nodes[known])
+        before = (path.edges[:known], path.nodes[: known + 1]) if known else ()
         for k in range(known, len(path.edges)):
+            s = self.merge(s, names[k], (path.edges[k:], path.nodes[k + 1 :], before))
             s = self.hop(s, names[k], path.edges[k], names[k + 1], path.nodes[k + 1])
         for k in range(known - 1, -1, -1):
             e = path.edges[k]
+            s = self.merge(s, names[k + 1], (path.edges[: k + 1], path.nodes[: k + 1]))
             back = {"out": "in", "in": "out", "any": "any"}[e.direction]
             s = self.hop(s, names[k + 1], replace(e, direction=back), names[k], path.nodes[k])
         return s
 
+    def merge(self, s: Bindings, near: str, rest: object) -> Bindings:
+        """Before a hop from ``near``, in a statement that only counts: one row for each of its nodes, where nothing else
+        that is bound is read later, so that the hop gives a row for each edge at most, and no pairs of those that meet
+        in a node. ``rest`` is what comes in the same path."""
+        if not self.counts or set(s.variables) == {near}:
+            return s
+        read = set()
+        for x in A.walk([rest, self.ahead, self.waiting, self.statement.returns]):
+            if isinstance(x, A.Variable):
+                read.add(x.name)
+            elif isinstance(x, (A.NodePattern, A.EdgePattern)):
+                read.add(x.variable)
+        b = s.variables[near]
+        own = [f for f in s.df.schema.fields if f.name.startswith((f"{b.prefix}#", f"{b.prefix}."))]
+        # grouping changes -0.0
+        if (read & s.variables.keys()) - {near} or any(f.dataType.simpleString() not in ("bigint", "int", "string", "boolean") for f in own):
+            return s
+        times = F.sum(F.col(f"`{TIMES}`")) if s.merged else F.count(F.lit(1))
+        return replace(s, df=s.df.groupBy(*(F.col(f"`{f.name}`") for f in own)).agg(times.alias(TIMES)), variables={near: b}, merged=True)
+
     def start(self, s: Bindings, name: str, p: A.NodePattern) -> Bindings:
         b = self.bind("node", p.variable, self.graph.labels("node", p.label), (k for k, _ in p.properties))
         s = replace(s, df=self.table(b), variables={name: b})
@@ -367,7 +405,7 @@ class Planner:
         if any(kinds):
             if not all(kinds):
                 raise AnalysisError("aggregates and other expressions together need GROUP BY, which the language does not have")
-            return s.df.agg(*(aggregate(r.expr, s).alias(f"c{k}") for k, r in enumerate(items))).toDF(*names)
+            return s.df.agg(*(aggregate(r.expr, s, F.col(f"`{TIMES}`") if s.merged else None).alias(f"c{k}") for k, r in enumerate(items))).toDF(*names)
         c = Compiler(s)
         cols = [c.value(r.expr).col.alias(f"c{k}") for k, r in enumerate(items)]
         if not self.statement.distinct:

@@ -166,3 +166,55 @@ def test_sweep_against_single_searches(monkeypatch, least, most, small):
     assert len(got) == len(expected) and set(got) == expected
     none = np.zeros(0, "int64")
     assert sum(t.num_rows for t in varpath.sweep(none, np.zeros(1, "int32"), none.astype("int32"), roots, least, most)) == (len(roots) if least == 0 else 0)
+
+
+def _rows_of_joins(df):
+    """The most rows that a join of the executed plan gave."""
+    df.collect()
+    out, todo = [0], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        x = todo.pop()
+        kind = x.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            x = x.executedPlan()
+            kind = x.getClass().getSimpleName()
+        if "Join" in kind:
+            out.append(x.metrics().get("numOutputRows").get().value())
+        if kind.endswith("QueryStageExec"):
+            todo.append(x.plan())
+        todo += [x.children().apply(k) for k in range(x.children().size())]
+    return max(out)
+
+
+@pytest.mark.parametrize("text", [
+    "MATCH (c:Customer)-[:IN_NATION]->(n), (s:Supplier)-[:IN_NATION]->(n) RETURN COUNT(*) AS c",
+    "MATCH (c:Customer)-[:IN_NATION]->(n)<-[:IN_NATION]-(s:Supplier) RETURN COUNT(*) AS c, COUNT(n) AS d",
+    "MATCH (c:Customer)-[:IN_NATION]->(n) MATCH (n)<-[e:IN_NATION]-(s:Supplier) RETURN COUNT(e) AS c",
+])
+def test_counts_make_no_pairs(star, text):
+    """A node where many paths meet costs a row for each edge, not one for each pair of them."""
+    df = star.query(text)
+    assert _rows_of_joins(df) <= star.query("MATCH ()-[e:IN_NATION]->() RETURN COUNT(*) AS c").first()[0]
+    pairs = star.query("MATCH (c:Customer)-[:IN_NATION]->(n), (s:Supplier)-[:IN_NATION]->(n) RETURN c.key AS c, s.key AS s")
+    assert set(df.first()) == {pairs.count()}
+
+
+@pytest.mark.parametrize("pattern", [
+    "(c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r), (s:Supplier)-[:IN_NATION]->(n), (m)-[:IN_REGION]->(r)",
+    "(c:Customer)-[:IN_NATION]->(n), (s:Supplier)-[:IN_NATION]->(n) WHERE c.acctbal > s.acctbal",
+    "(c:Customer)-[:IN_NATION]->(n), (s:Supplier)-[:IN_NATION]->(n) WHERE c.acctbal > 5000 AND n.name <> 'CHINA'",
+    "(c:Customer)-[:IN_NATION]->(n)-[:IN_REGION]->(r), (s:Supplier)-[:IN_NATION]->(n)<-[:IN_NATION]-(d) WHERE s.acctbal < r.key * 1000",
+    "(o)-[:HAS_PART]->(a:Part)-[:NEXT_PART*1..2]->(b)<-[:HAS_PART]-(p)",
+    "(a:Part)-[:NEXT_PART]->(b)-[:NEXT_PART]->(a)",
+    "(s:Supplier)-[:IN_NATION]->(n)-[:IN_REGION]->(r), (q:Region) WHERE q.key > r.key",
+    "(s:Supplier)-[:IN_NATION]->(n) MATCH (x)-[:IN_REGION]->(r)<-[:IN_REGION]-(n)<-[:IN_NATION]-(y:Customer) WHERE y.acctbal > 0",
+    "(s:Supplier {key: 0 - 1})-[:IN_NATION]->(n)<-[:IN_NATION]-(c)",
+])
+def test_counts_against_rows(star, pattern):
+    """Counts, also those of values that can be null, are those of the rows that the same pattern gives."""
+    rows = star.query(f"MATCH {pattern} RETURN 1 AS one").count()
+    assert star.query(f"MATCH {pattern} RETURN COUNT(*) AS c").first()[0] == rows
+    last = {"d": "d", "y": "y", "m)": "m", "p)": "p", "q:": "q"}
+    name = next((v for k, v in last.items() if f"({k}" in pattern), "a" if "(a" in pattern else "s")
+    given = star.query(f"MATCH {pattern} RETURN {name}.acctbal AS x").filter("x is not null").count()
+    assert tuple(star.query(f"MATCH {pattern} RETURN COUNT({name}.acctbal) AS c, COUNT(*) AS d").first()) == (given, rows)
