@@ -20,7 +20,7 @@ from ..functions.expr import Compiler, Typed, aggregate, is_aggregate, null
 from ..plans import ast as A
 from ..sources.catalog import PropertyGraph
 from ..sources.shared import written
-from .varpath import reach
+from .varpath import Reached, reach
 
 
 #: How many equal bindings a row stands for.
@@ -320,7 +320,7 @@ class Planner:
         rows = roots.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
         found = reach(roots.select("root"), edges, e.hops)
         s = replace(s, df=found.join(s.df, f"{a.prefix}#id", f"{x}#far", rows))
-        s = self.arrive(s, f"{x}#far", far, p, self.reached_labels(types, e, a.labels), found.few)
+        s = self.arrive(s, f"{x}#far", far, p, self.reached_labels(types, e, a.labels), found)
         return replace(s, df=s.df.drop(f"{x}#far"))
 
     def reached_labels(self, types: tuple[str, ...], e: A.EdgePattern, near: tuple[str, ...]) -> tuple[str, ...] | None:
@@ -334,8 +334,8 @@ class Planner:
                 return tuple(dict.fromkeys((*near, *out))) if e.hops.least == 0 else out
             out = more
 
-    def arrive(self, s: Bindings, at: str, far: str, p: A.NodePattern, possible: tuple[str, ...] | None, few: DataFrame | None = None) -> Bindings:
-        """Binds the node whose id is in the column ``at``: one of ``few`` (node), if these are known."""
+    def arrive(self, s: Bindings, at: str, far: str, p: A.NodePattern, possible: tuple[str, ...] | None, found: Reached | None = None) -> Bindings:
+        """Binds the node whose id is in the column ``at``."""
         if far in s.variables:
             s = replace(s, df=s.df.filter(F.col(f"`{at}`") == s.variables[far].id))
             return self.narrow(s, far, p)
@@ -345,7 +345,7 @@ class Planner:
         b = self.bind("node", p.variable, labels, (k for k, _ in p.properties))
 
         def nodes() -> DataFrame:
-            return self.table(b) if few is None else F.broadcast(self.table(b).join(few, b.id == few["node"], "left_semi"))
+            return self.table(b) if found is None else found.among(self.table(b), f"{b.prefix}#id")
 
         if self.graph.whole and possible is not None and set(possible) <= set(labels) and not b.names and len(labels) <= 1:
             # the edges' ends say all there is to know: no join

@@ -6,7 +6,7 @@ Every node that a root reaches is found once, at its least depth. There are two
 has one bit for each of them, so that a level is one OR over the edges for all of a task's roots; nothing is shuffled,
 and no pair of a root and a node is kept. Pairs come as arrays of nodes and are taken apart where they are used.
 
-``levels``: for any number of edges. Each level is one join of the frontier with the edges and one anti join with what
+``levels``: for any number of edges, and for paths of up to ``SHORT`` hops, which reach few nodes. Each level is one join of the frontier with the edges and one anti join with what
 was visited, both by shuffle on their keys or by broadcast as sizes allow; levels are written tables, so that no plan
 grows and lost executors cost a level at most.
 """
@@ -32,8 +32,10 @@ ROOTS = 512
 WORDS = 1 << 23
 #: Nodes in one array: a root that reaches more has several rows. Nodes in an Arrow batch, about.
 NODES, BATCH = 1 << 13, 1 << 20
-#: Rows that are broadcast to joins with pairs.
-ROWS = 500_000
+#: Values (rows times columns) that are broadcast to joins with pairs.
+VALUES = 4_000_000
+#: Paths of up to so many hops go level by level.
+SHORT = 3
 
 
 @dataclass(frozen=True)
@@ -41,13 +43,20 @@ class Reached:
     """What roots reach: ``pairs`` (root, nodes: an array)."""
 
     pairs: DataFrame
-    #: The ids that can be in ``nodes``, (node); None if they may be too many to broadcast rows for each.
+    #: The ids that can be in ``nodes``, (node), and how many they are at most; None if that is not known.
     few: DataFrame | None = None
+    count: int = 0
+
+    def among(self, nodes: DataFrame, at: str) -> DataFrame:
+        """Those of ``nodes`` (with an id in the column ``at``) that pairs can lead to, to be broadcast if they are few."""
+        if self.few is None or self.count * len(nodes.columns) > VALUES:
+            return nodes
+        return F.broadcast(nodes.join(self.few, F.col(f"`{at}`") == self.few["node"], "left_semi"))
 
     def join(self, df: DataFrame, at: str, out: str, rows: int) -> DataFrame:
         """``df``, of ``rows`` rows, with a row for each node that the id in the column ``at`` reaches, as ``out``."""
         pairs = self.pairs.withColumnsRenamed({"root": "<root>", "nodes": "<nodes>"})
-        df = F.broadcast(df) if rows <= ROWS else df
+        df = F.broadcast(df) if rows * len(df.columns) <= VALUES else df
         return pairs.join(df, F.col("`<root>`") == F.col(f"`{at}`")).withColumn(out, F.explode("<nodes>")).drop("<root>", "<nodes>")
 
 
@@ -57,8 +66,10 @@ def reach(roots: DataFrame, edges: DataFrame, hops: Hops) -> Reached:
     The root itself counts only at depth 0; no cycle leads back to it.
     """
     most = OPEN if hops.most is None else hops.most
-    edges = written(edges.distinct(), "path-edges")  # parallel edges reach no more
-    if edges.count() <= EDGES:
+    edges = edges.distinct()  # parallel edges reach no more
+    if most > 1:
+        edges = written(edges, "path-edges")
+    if most > SHORT and edges.count() <= EDGES:
         try:
             return swept(roots, edges, hops.least, most)
         except ImportError:
@@ -94,11 +105,10 @@ def swept(roots: DataFrame, edges: DataFrame, least: int, most: int) -> Reached:
     graph = roots.sparkSession.sparkContext.broadcast((ids, first, far[np.argsort(near, kind="stable")]))
     count = roots.count()
     pairs = roots.repartitionByRange(max(1, -(-count // ROOTS)), "root").mapInArrow(_search(graph, least, most), "root long, nodes array<long>")
-    few = None
-    if len(ids) + (count if least == 0 else 0) <= ROWS:
-        few = edges.select(F.col("far").alias("node"))
-        few = (few if least else few.unionByName(roots.select(F.col("root").alias("node")))).distinct()
-    return Reached(_of_unknown_size(pairs), few)
+    few = edges.select(F.col("far").alias("node"))
+    if least == 0:
+        few = few.unionByName(roots.select(F.col("root").alias("node")))
+    return Reached(_of_unknown_size(pairs), few.distinct(), len(ids) + (count if least == 0 else 0))
 
 
 def _of_unknown_size(df: DataFrame) -> DataFrame:

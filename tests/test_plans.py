@@ -122,8 +122,8 @@ def test_open_paths_keep_no_pairs(spark, monkeypatch, name):
     assert "SortMergeJoin" not in plan(df)
 
 
-@pytest.mark.parametrize("limits", [{"EDGES": -1}, {"ROWS": 0}])
-@pytest.mark.parametrize("text", ["MATCH (a:Part)-[:NEXT_PART*0..]->(b) RETURN a.key AS a, b.key AS b", "MATCH (a:Part)-[:NEXT_PART*2..4]-(b:Part) RETURN a.key AS a, b.key AS b"])
+@pytest.mark.parametrize("limits", [{"EDGES": -1}, {"VALUES": 0}, {"SHORT": 20}])
+@pytest.mark.parametrize("text", ["MATCH (a:Part)-[:NEXT_PART*0..]->(b) RETURN a.key AS a, b.key AS b", "MATCH (a:Part)-[:NEXT_PART*2..5]-(b:Part) RETURN a.key AS a, b.key AS b"])
 def test_paths_beyond_what_is_broadcast(star, monkeypatch, text, limits):
     expected = sorted(map(tuple, star.query(text).collect()))
     for name, value in limits.items():
