@@ -13,9 +13,11 @@ grows and lost executors cost a level at most.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,6 +121,8 @@ def _of_unknown_size(df: DataFrame) -> DataFrame:
 
 
 def _search(graph, least: int, most: int) -> Callable[[Iterator], Iterator]:
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 

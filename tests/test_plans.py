@@ -1,8 +1,11 @@
 """The plans that Spark makes of statements, and the registered queries."""
 
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 import __spark_entry__
 from propgraph import GraphSession, suite
@@ -218,3 +221,11 @@ def test_counts_against_rows(star, pattern):
     name = next((v for k, v in last.items() if f"({k}" in pattern), "a" if "(a" in pattern else "s")
     given = star.query(f"MATCH {pattern} RETURN {name}.acctbal AS x").filter("x is not null").count()
     assert tuple(star.query(f"MATCH {pattern} RETURN COUNT({name}.acctbal) AS c, COUNT(*) AS d").first()) == (given, rows)
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """What tasks of paths run is sent whole: it loads where this package cannot be imported."""
+    (tmp_path / "search").write_bytes(cloudpickle.dumps(varpath._search(None, 1, 2)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "from pyspark import cloudpickle; f = cloudpickle.load(open('search', 'rb')); assert list(f([])) == []"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
