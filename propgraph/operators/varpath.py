@@ -4,7 +4,10 @@ Every node that a root reaches is found once, at its least depth. There are two
 
 ``swept``: up to ``EDGES`` edges are broadcast as arrays, and each task searches from ``ROOTS`` roots together. A node
 has one bit for each of them, so that a level is one OR over the edges for all of a task's roots; nothing is shuffled,
-and no pair of a root and a node is kept. Pairs come as arrays of nodes and are taken apart where they are used.
+and no pair of a root and a node is kept. Pairs come as blocks, an array of nodes with that of the roots that reach them
+all, and are taken apart where they are used, node by node: one column stays the same while the other goes through the
+same roots again, which Parquet keeps in little space. Where rows of roots are too many
+to be broadcast, pairs come as arrays of nodes for one root, to be shuffled by it.
 
 ``levels``: for any number of edges, and for paths of up to ``SHORT`` hops, which reach few nodes. Each level is one join of the frontier with the edges and one anti join with what
 was visited, both by shuffle on their keys or by broadcast as sizes allow; levels are written tables, so that no plan
@@ -28,11 +31,13 @@ from ..sources.shared import written
 OPEN = 20
 #: Edges that are broadcast: 4 bytes each, and 12 a node; the driver reads them with 16.
 EDGES = 4_000_000
-#: Roots of a task, a multiple of 64: as many bits a node.
-ROOTS = 512
+#: Roots that a task searches from together, a multiple of 64: as many bits a node. With 256, a file that a task writes
+#: needs one byte for each of them, so that what comes again is found again wherever it begins. A task gets ``DEALT`` on
+#: average, a few less, as ranges are not quite even.
+ROOTS, DEALT = 256, 240
 #: Words of 64 bits that a task holds for all edges at once; with more, its roots go in turns.
 WORDS = 1 << 23
-#: Nodes in one array: a root that reaches more has several rows. Nodes in an Arrow batch, about.
+#: Pairs in one row, which Spark holds at once when it takes them apart. Ids in an Arrow batch, about.
 NODES, BATCH = 1 << 13, 1 << 20
 #: Values (rows times columns) that are broadcast to joins with pairs.
 VALUES = 4_000_000
@@ -44,7 +49,9 @@ SHORT = 3
 class Reached:
     """What roots reach: ``pairs`` (root, nodes: an array)."""
 
-    pairs: DataFrame
+    pairs: Callable[[], DataFrame]
+    #: The same as (roots, nodes): arrays, each root with each node; None if there is no such form.
+    blocks: Callable[[], DataFrame] | None = None
     #: The ids that can be in ``nodes``, (node), and how many they are at most; None if that is not known.
     few: DataFrame | None = None
     count: int = 0
@@ -57,8 +64,13 @@ class Reached:
 
     def join(self, df: DataFrame, at: str, out: str, rows: int) -> DataFrame:
         """``df``, of ``rows`` rows, with a row for each node that the id in the column ``at`` reaches, as ``out``."""
-        pairs = self.pairs.withColumnsRenamed({"root": "<root>", "nodes": "<nodes>"})
-        df = F.broadcast(df) if rows * len(df.columns) <= VALUES else df
+        fits = rows * len(df.columns) <= VALUES
+        df = F.broadcast(df) if fits else df
+        if fits and self.blocks is not None:
+            blocks = self.blocks().withColumnsRenamed({"roots": "<roots>", "nodes": "<nodes>"})
+            pairs = blocks.withColumn(out, F.explode("<nodes>")).drop("<nodes>").withColumn("<root>", F.explode("<roots>")).drop("<roots>")
+            return pairs.join(df, F.col("`<root>`") == F.col(f"`{at}`")).drop("<root>")
+        pairs = self.pairs().withColumnsRenamed({"root": "<root>", "nodes": "<nodes>"})
         return pairs.join(df, F.col("`<root>`") == F.col(f"`{at}`")).withColumn(out, F.explode("<nodes>")).drop("<root>", "<nodes>")
 
 
@@ -77,7 +89,7 @@ def reach(roots: DataFrame, edges: DataFrame, hops: Hops) -> Reached:
         except ImportError:
             pass  # no NumPy or Arrow here
     found = levels(roots, edges, hops.least, most)
-    return Reached(found.select("root", F.array("node").alias("nodes")))
+    return Reached(lambda: found.select("root", F.array("node").alias("nodes")))
 
 
 def levels(roots: DataFrame, edges: DataFrame, least: int, most: int) -> DataFrame:
@@ -106,11 +118,16 @@ def swept(roots: DataFrame, edges: DataFrame, least: int, most: int) -> Reached:
     first = np.concatenate([[0], np.cumsum(np.bincount(near, minlength=len(ids)))]).astype("int32")
     graph = roots.sparkSession.sparkContext.broadcast((ids, first, far[np.argsort(near, kind="stable")]))
     count = roots.count()
-    pairs = roots.repartitionByRange(max(1, -(-count // ROOTS)), "root").mapInArrow(_search(graph, least, most), "root long, nodes array<long>")
+
+    def found(schema: str, blocks: bool) -> DataFrame:
+        parts = roots.repartitionByRange(max(1, -(-count // DEALT)), "root")
+        return _of_unknown_size(parts.mapInArrow(_search(graph, least, most, blocks), schema))
+
     few = edges.select(F.col("far").alias("node"))
     if least == 0:
         few = few.unionByName(roots.select(F.col("root").alias("node")))
-    return Reached(_of_unknown_size(pairs), few.distinct(), len(ids) + (count if least == 0 else 0))
+    pairs, blocks = (lambda: found("root long, nodes array<long>", False)), (lambda: found("roots array<long>, nodes array<long>", True))
+    return Reached(pairs, blocks, few.distinct(), len(ids) + (count if least == 0 else 0))
 
 
 def _of_unknown_size(df: DataFrame) -> DataFrame:
@@ -120,7 +137,7 @@ def _of_unknown_size(df: DataFrame) -> DataFrame:
     return DataFrame(jdf, spark)
 
 
-def _search(graph, least: int, most: int) -> Callable[[Iterator], Iterator]:
+def _search(graph, least: int, most: int, blocks: bool = False) -> Callable[[Iterator], Iterator]:
     cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
     def run(batches: Iterator) -> Iterator:
@@ -129,14 +146,14 @@ def _search(graph, least: int, most: int) -> Callable[[Iterator], Iterator]:
         roots = [np.asarray(b.column(0).to_numpy(zero_copy_only=False), "int64") for b in batches]
         roots = np.concatenate([np.zeros(0, "int64"), *roots])
         for i in range(0, len(roots), ROOTS):
-            yield from sweep(*graph.value, roots[i : i + ROOTS], least, most)
+            yield from sweep(*graph.value, roots[i : i + ROOTS], least, most, blocks)
 
     return run
 
 
-def sweep(ids, first, far, roots, least: int, most: int) -> Iterator:
-    """Arrow batches (root, nodes) of distinct roots. ``ids`` ascend; the edges of the k-th lead to the places
-    ``far[first[k] : first[k + 1]]`` in them."""
+def sweep(ids, first, far, roots, least: int, most: int, blocks: bool = False) -> Iterator:
+    """Arrow batches (root, nodes) of distinct roots, or (roots, nodes) as ``blocks``. ``ids`` ascend; the edges of the
+    k-th lead to the places ``far[first[k] : first[k + 1]]`` in them."""
     import numpy as np
 
     def edges(nodes):
@@ -186,7 +203,7 @@ def sweep(ids, first, far, roots, least: int, most: int) -> Iterator:
             level[ends] = new
             if depth >= least:
                 found[ends] |= new
-        yield from _rows(ids[here], found, roots[i : i + width], least == 0)
+        yield from (_blocks if blocks else _rows)(ids[here], found, roots[i : i + width], least == 0)
 
 
 def _rows(ids, found, roots, own: bool) -> Iterator:
@@ -217,3 +234,37 @@ def _rows(ids, found, roots, own: bool) -> Iterator:
             keys, lists, size = [], [], 0
     if keys:
         yield batch()
+
+
+def _blocks(ids, found, roots, own: bool) -> Iterator:
+    """A row for nodes with the same bits and up to ``NODES`` of their pairs with roots; before them each root with itself,
+    if ``own``."""
+    import numpy as np
+    import pyarrow as pa
+
+    def lists(offsets, values):
+        return pa.ListArray.from_arrays(pa.array(offsets.astype("int32")), pa.array(values))
+
+    if own:
+        one = lists(np.arange(len(roots) + 1), roots)
+        yield pa.RecordBatch.from_arrays([one, one], ["roots", "nodes"])
+    order = np.lexsort(found.T)
+    order = order[found[order].any(axis=1)]
+    if not len(order):
+        return
+    ids, found = ids[order], found[order]
+    start = np.concatenate([[0], np.flatnonzero((found[1:] != found[:-1]).any(axis=1)) + 1])
+    end = np.append(start[1:], len(ids))
+    kinds = np.ascontiguousarray(found[start]).astype("<u8", copy=False).view("uint8")  # of nodes, by their bits
+    ones = np.unpackbits(np.arange(256, dtype="uint8")[:, None], axis=1).sum(axis=1, dtype="uint8")
+    most = np.maximum(1, NODES // ones[kinds].sum(axis=1, dtype="int64"))
+    rows = -(-(end - start) // most)
+    kind = np.repeat(np.arange(len(rows)), rows)
+    start = start[kind] + (np.arange(len(kind)) - np.repeat(np.cumsum(rows) - rows, rows)) * most[kind]
+    start = np.append(start, len(ids))  # each row ends where the next begins
+    step = max(1, BATCH // len(roots))
+    for i in range(0, len(kind), step):
+        bits = np.unpackbits(kinds[kind[i : i + step]], axis=1, bitorder="little")
+        at = start[i : i + step + 1]
+        these = lists(np.append(0, np.cumsum(bits.sum(axis=1, dtype="int64"))), roots[np.nonzero(bits)[1]])
+        yield pa.RecordBatch.from_arrays([these, lists(at - at[0], ids[at[0] : at[-1]])], ["roots", "nodes"])

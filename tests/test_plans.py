@@ -125,6 +125,40 @@ def test_open_paths_keep_no_pairs(spark, monkeypatch, name):
     assert "SortMergeJoin" not in plan(df)
 
 
+@pytest.mark.parametrize("name", ["var_min2"])
+def test_open_paths_as_files(spark, tmp_path, name):
+    """Pairs come in an order that files keep in a few bits each: nearly every part reaches nearly every other."""
+    df = suite.queries()[name](spark, "/root/testdata/sf0.01")
+    df.write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs")
+    rows = pairs.count()
+    assert rows == pairs.distinct().count() > 1_000_000
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.2 * rows
+
+
+@pytest.mark.parametrize(("least", "most"), [(0, 0), (0, 3), (1, 20), (2, 20)])
+@pytest.mark.parametrize("small", [False, True])
+def test_blocks_are_the_same_pairs(monkeypatch, least, most, small):
+    """Blocks against rows of one root: no pair is twice or missing, and no row has more pairs than it may."""
+    np = pytest.importorskip("numpy")
+    if small:
+        for name, value in (("WORDS", 1), ("NODES", 3), ("BATCH", 10)):
+            monkeypatch.setattr(varpath, name, value)
+    rng = np.random.default_rng(11)
+    near, far = rng.integers(0, 700, (2, 1500))
+    near, far = np.append(near, np.arange(700, 730)), np.append(far, np.arange(701, 731))  # a chain beside
+    ids = np.arange(731) * 5 + 3
+    first = np.append(0, np.cumsum(np.bincount(near, minlength=731))).astype("int32")
+    far = far[np.argsort(near, kind="stable")].astype("int32")
+    roots = np.append(rng.permutation(ids)[:300], [2, 9_999])
+    expected = [(r, x) for t in varpath.sweep(ids, first, far, roots, least, most) for row in t.to_pylist() for r in [row["root"]] for x in row["nodes"]]
+    blocks = [row for t in varpath.sweep(ids, first, far, roots, least, most, True) for row in t.to_pylist()]
+    assert all(len(row["roots"]) == 1 or len(row["nodes"]) == 1 or len(row["roots"]) * len(row["nodes"]) <= varpath.NODES for row in blocks)
+    assert sorted((r, x) for row in blocks for x in row["nodes"] for r in row["roots"]) == sorted(expected)
+    none = np.zeros(0, "int64")
+    assert sum(t.num_rows for t in varpath.sweep(none, np.zeros(1, "int32"), none.astype("int32"), roots, least, most, True)) == (len(roots) if least == 0 else 0)
+
+
 @pytest.mark.parametrize("limits", [{"EDGES": -1}, {"VALUES": 0}, {"SHORT": 20}])
 @pytest.mark.parametrize("text", ["MATCH (a:Part)-[:NEXT_PART*0..]->(b) RETURN a.key AS a, b.key AS b", "MATCH (a:Part)-[:NEXT_PART*2..5]-(b:Part) RETURN a.key AS a, b.key AS b"])
 def test_paths_beyond_what_is_broadcast(star, monkeypatch, text, limits):
